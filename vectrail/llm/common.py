@@ -157,5 +157,5 @@ def row_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     """Two longs that tell rows of different id or text apart; equal rows share them."""
     return (
         F.coalesce(as_long(df, doc_id), F.lit(-(1 << 63))).alias("k1"),
-        F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("k2"),
+        F.xxhash64(as_long(df, doc_id), F.col(text)).alias("k2"),
     )

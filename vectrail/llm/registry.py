@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from vectrail.llm import decontaminate, simhash, toxicity
+from vectrail.llm import decontaminate, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op7_countmin_substrings": substring.op7_countmin_substrings,
         "op9_toxicity_kneser_ney": toxicity.op9_toxicity_kneser_ney,
         "op6_simhash_balls": simhash.op6_simhash_balls,
     }
