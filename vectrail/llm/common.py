@@ -129,6 +129,7 @@ class Rolling:
         return self.of_values(self.table[raw])
 
     def ranges(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        self._grow(len(prefix))
         return mix((prefix[hi] - prefix[lo]) * self.down[lo])
 
     def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
@@ -136,6 +137,7 @@ class Rolling:
         n = len(prefix) - 1 - width + 1
         if n <= 0:
             return np.zeros(0, U64)
+        self._grow(len(prefix))
         return mix((prefix[width:] - prefix[:-width]) * self.down[:n])
 
 

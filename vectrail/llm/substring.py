@@ -75,39 +75,43 @@ def _cells(h: np.ndarray, row: int) -> np.ndarray:
     return (mix(h ^ U64(0x5851F42D4C957F2D * (row + 1) & 0xFFFFFFFFFFFFFFFF)) & U64(CELLS - 1)).astype(np.int64)
 
 
+SKETCH = "slice int, what long, cells binary"
+
+
+def sketch_rows(held: list[np.ndarray], seen: int = 0) -> pa.RecordBatch:
+    """A sparse sketch of some hashes, by slice of the cells; slice -1 counts what was read."""
+    h = np.concatenate(held) if held else np.zeros(0, U64)
+    rows = [(-1, seen, b"")]
+    for row in range(ROWS):
+        cells, times = np.unique(_cells(h, row), return_counts=True)
+        for what, kept in ((1, cells[times == 1]), (2, cells[times > 1])):
+            part = kept // (CELLS // SLICES)
+            edges = np.searchsorted(part, np.arange(SLICES + 1))
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                rows.append((row * SLICES + s, what, (kept[edges[s] : edges[s + 1]] % (CELLS // SLICES)).astype(np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "what", "cells"])
+
+
 def _sketch(width: int):
     def run(batches):
-        held, size, words_seen = [], 0, 0
-
-        def flush():
-            h = np.concatenate(held) if held else np.zeros(0, U64)
-            for row in range(ROWS):
-                cells, times = np.unique(_cells(h, row), return_counts=True)
-                for what, kept in ((1, cells[times == 1]), (2, cells[times > 1])):
-                    part = kept // (CELLS // SLICES)
-                    edges = np.searchsorted(part, np.arange(SLICES + 1))
-                    for s in np.flatnonzero(np.diff(edges)).tolist():
-                        yield row * SLICES + s, what, (kept[edges[s] : edges[s + 1]] % (CELLS // SLICES)).astype(np.uint32).tobytes()
-
-        def out(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "what", "cells"])
-
+        held, size, seen = [], 0, 0
         for batch in batches:
             raw, off = binary_parts(batch.column(0))
             for i, j in slices(off):
                 lo, hi = off[i], off[j]
                 at, h, pos, words, _ = _windows(raw[lo:hi], off[i : j + 1] - lo, width)
-                words_seen += len(words)
+                seen += len(words)
+                if not len(at):
+                    continue
                 if len(words) >= 1 << 24:  # positions no longer fit beside the hash: every minimiser counts as repeated
                     held.append(np.repeat(np.unique(h), 2))
-                elif len(at):
+                else:
                     held.append(h[np.unique(pos, return_index=True)[1]])
-                size += len(held[-1]) if held else 0
+                size += len(held[-1])
                 if size > 1 << 22:
-                    yield out(flush())
+                    yield sketch_rows(held)
                     held, size = [], 0
-        yield out([*flush(), (-1, words_seen, b"")])
+        yield sketch_rows(held, seen)
 
     return run
 
@@ -157,12 +161,15 @@ class Sketch:
         return out
 
 
-def build_sketch(documents: DataFrame, *, text: str = "text", width: int = 20) -> Sketch:
-    found = documents.select(F.col(text).alias("text")).mapInArrow(_sketch(width), "slice int, what long, cells binary")
-    merged = found.repartition(shuffle_parts(documents.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, what long, cells binary")
+def merge_sketch(parts: DataFrame) -> Sketch:
+    merged = parts.repartition(shuffle_parts(parts.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(_merge, SKETCH)
     return Sketch(merged.collect())
 
 
+def build_sketch(documents: DataFrame, *, text: str = "text", width: int = 20) -> Sketch:
+    return merge_sketch(documents.select(F.col(text).alias("text")).mapInArrow(_sketch(width), SKETCH))
+
+
 COLUMNS = ("k1", "k2", "h1", "h2", "doc", "start", "more_doc", "more_start")
 
 
