@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from vectrail.llm import decontaminate, simhash, substring, suffix, toxicity
+from vectrail.llm import decontaminate, repair, simhash, substring, suffix, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_repair_ids": repair.op4_repair_ids,
         "op5_suffix_repeats": suffix.op5_suffix_repeats,
         "op7_countmin_substrings": substring.op7_countmin_substrings,
         "op9_toxicity_kneser_ney": toxicity.op9_toxicity_kneser_ney,
