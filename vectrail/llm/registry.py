@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from vectrail.llm import ann, decontaminate, repair, simhash, substring, suffix, toxicity
+from vectrail.llm import ann, decontaminate, extract, repair, simhash, substring, suffix, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_learned_partitions": ann.op1_learned_partitions,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_line_blocks": extract.op3_line_blocks,
         "op4_repair_ids": repair.op4_repair_ids,
         "op5_suffix_repeats": suffix.op5_suffix_repeats,
         "op7_countmin_substrings": substring.op7_countmin_substrings,
