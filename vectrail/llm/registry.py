@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from vectrail.llm import ann, decontaminate, extract, repair, simhash, substring, suffix, toxicity
+from vectrail.llm import ann, decontaminate, extract, repair, simhash, substring, suffix, toolcalls, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -15,10 +15,11 @@ def queries() -> dict[str, Callable]:
         "op4_repair_ids": repair.op4_repair_ids,
         "op5_suffix_repeats": suffix.op5_suffix_repeats,
         "op7_countmin_substrings": substring.op7_countmin_substrings,
+        "op8_tool_call_linking": toolcalls.op8_tool_call_linking,
         "op9_toxicity_kneser_ney": toxicity.op9_toxicity_kneser_ney,
         "op6_simhash_balls": simhash.op6_simhash_balls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_tool_call_linking": toolcalls.ORACLE}
