@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from vectrail.llm import ann, decontaminate, extract, repair, simhash, substring, suffix, toolcalls, toxicity
+from vectrail.llm import ann, decontaminate, extract, pieces, repair, simhash, substring, suffix, toolcalls, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op5_suffix_repeats": suffix.op5_suffix_repeats,
         "op7_countmin_substrings": substring.op7_countmin_substrings,
         "op8_tool_call_linking": toolcalls.op8_tool_call_linking,
+        "op10_gumbel_pieces": pieces.op10_gumbel_pieces,
         "op9_toxicity_kneser_ney": toxicity.op9_toxicity_kneser_ney,
         "op6_simhash_balls": simhash.op6_simhash_balls,
     }
