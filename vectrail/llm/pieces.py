@@ -96,15 +96,16 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """Lattices of some words (their code points in a row): piece ids, conditional probabilities, log-probabilities."""
+    """Lattices of some words (their code points in a row). Each place has its pieces in slots: their lengths, ids,
+    conditional probabilities (summed up, and of all others together) and log-probabilities."""
 
     def __init__(self, v: Vocabulary, chars: np.ndarray, sizes: np.ndarray):
-        n, width = len(chars), v.longest
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        room = ends - np.arange(n)
-        weight, self.ids = np.full((n, width), -np.inf), np.full((n, width), -1, np.int32)
-        live, h = np.arange(n), np.zeros(n, U64)
-        for k in range(width):
+        n = len(chars)
+        self.ends = np.repeat(np.cumsum(sizes), sizes)
+        room = self.ends - np.arange(n)
+        found, live, h = [], np.arange(n), np.zeros(n, U64)
+        single = np.zeros(n, bool)
+        for k in range(v.longest):
             inside = room[live] > k
             live, h = live[inside], h[inside]
             if not len(live):
@@ -114,99 +115,162 @@ class Lattice:
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             ok = keys[at] == h
             live, h, at = live[ok], h[ok], at[ok]
-            weight[live, k], self.ids[live, k] = w[at], ids[at]
-        lone = np.flatnonzero(self.ids[:, 0] < 0)
+            piece = ids[at] >= 0
+            found.append((live[piece], np.full(piece.sum(), k + 1, np.int8), ids[at[piece]], w[at[piece]]))
+            if not k:
+                single[live[piece]] = True
+        lone = np.flatnonzero(~single)
         spelled = np.where(chars[lone] == LITERAL, ord(MARK), chars[lone])
-        weight[lone, 0] = BYTE * (1 + (spelled > 0x7F) + (spelled > 0x7FF) + (spelled > 0xFFFF))
-        self.spelling = dict(zip(lone.tolist(), spelled.tolist()))
-        back = np.zeros(n + width)
-        order = np.argsort(room, kind="stable")
-        edge = np.searchsorted(room[order], np.arange(1, int(room.max(initial=0)) + 2))
+        spans = 1 + (spelled > 0x7F) + (spelled > 0x7FF) + (spelled > 0xFFFF)
+        found.append((lone, np.ones(len(lone), np.int8), np.full(len(lone), -1, np.int32), BYTE * spans))
+        self.row = np.full(n, -1, np.int32)
+        self.row[lone] = np.arange(len(lone))
+        self.spans, self.byte_ids = spans.astype(np.int64), np.zeros((len(lone), 4), np.int32)
+        for c in np.unique(spelled).tolist():
+            parts = [v.bytes[b] for b in chr(c).encode()]
+            self.byte_ids[spelled == c, : len(parts)] = parts
+        place, size, ids, weight = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        per = np.bincount(place, minlength=n)
+        slot = np.arange(len(place)) - np.repeat(np.cumsum(per) - per, per)
+        width = int(per.max(initial=1))
+        self.size, self.ids, x = np.ones((n, width), np.int8), np.full((n, width), -1, np.int32), np.full((n, width), -np.inf)
+        self.size[place, slot], self.ids[place, slot], x[place, slot] = size[order], ids[order], weight[order]
+        back = np.zeros(n + v.longest + 1)
+        by_room = np.argsort(room, kind="stable")
+        edge = np.searchsorted(room[by_room], np.arange(1, int(room.max(initial=0)) + 2))
         for r in range(len(edge) - 1):
-            at = order[edge[r] : edge[r + 1]]
-            m = min(r + 1, width)
-            after = np.where(np.arange(1, m + 1) < room[at, None], back[at[:, None] + np.arange(1, m + 1)], 0.0)
-            x = weight[at, :m] + after
-            top = x.max(axis=1, keepdims=True)
-            total = top + np.log(np.exp(x - top).sum(axis=1, keepdims=True))
+            at = by_room[edge[r] : edge[r + 1]]
+            y = x[at] + np.where(self.size[at] == r + 1, 0.0, back[at[:, None] + self.size[at]])
+            top = y.max(axis=1, keepdims=True)
+            total = top + np.log(np.exp(y - top).sum(axis=1, keepdims=True))
             back[at] = total[:, 0]
-            weight[at, :m] = x - total
-        self.log, self.p = weight, np.exp(weight)
-        self.cum = np.cumsum(self.p, axis=1)
-        self.last = width - 1 - np.argmax((self.p > 0)[:, ::-1], axis=1)
-        self.ends = ends
-
-
-def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray, barred: np.ndarray | None = None):
-    """Draw pieces from word positions `at` to the words' ends: (which, position, length), in order of which.
-
-    barred: for the first piece of each, the lengths (bit masks) it may not have."""
+            x[at] = y - total
+        p = np.exp(x)
+        self.log, self.p, self.cum = x, p, np.cumsum(p, axis=1)
+        none = np.zeros((n, 1))
+        ahead = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
+        self.others = np.concatenate([none, self.cum[:, :-1]], axis=1) + np.concatenate([ahead[:, 1:], none], axis=1)
+        self.last = width - 1 - np.argmax((p > 0)[:, ::-1], axis=1)
+
+    def spell(self, at: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Ids of pieces; characters in bytes become their byte pieces."""
+        ids = self.ids[at, slot]
+        lone = np.flatnonzero(ids < 0)
+        if not len(lone):
+            return ids
+        row = self.row[at[lone]]
+        lens = np.ones(len(ids), np.int64)
+        lens[lone] = self.spans[row]
+        out = np.repeat(ids, lens)
+        first = (np.cumsum(lens) - lens)[lone]
+        for k in range(4):
+            has = self.spans[row] > k
+            out[first[has] + k] = self.byte_ids[row[has], k]
+        return out
+
+
+def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray, barred: np.ndarray):
+    """Draw pieces from word places `at` to the words' ends: (which, place, slot), in order of which.
+
+    barred: bit masks of the slots that the first piece of each may not have."""
     which, live, where, n = [], np.arange(len(at)), at.copy(), number.astype(U64) * U64(1 << 20)
-    got_at, got_len, step = [], [], 0
+    got_at, got_slot, step = [], [], 0
     while len(live):
         pos = where[live]
         u = unit(seed[live], n[live] + U64(step))
-        if step == 0 and barred is not None and barred.any():
-            p = np.where((barred[live, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[pos])
+        pick = np.minimum((u[:, None] >= lat.cum[pos]).sum(axis=1), lat.last[pos])
+        if step == 0 and len(some := np.flatnonzero(barred)):
+            p = np.where((barred[some, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[pos[some]])
             cum = np.cumsum(p, axis=1)
-            pick = (u[:, None] * cum[:, -1:] >= cum).sum(axis=1)
-            pick = np.minimum(pick, p.shape[1] - 1 - np.argmax((p > 0)[:, ::-1], axis=1))
-        else:
-            pick = np.minimum((u[:, None] >= lat.cum[pos]).sum(axis=1), lat.last[pos])
+            pick[some] = np.minimum((u[some, None] * cum[:, -1:] >= cum).sum(axis=1), p.shape[1] - 1 - np.argmax((p > 0)[:, ::-1], axis=1))
         which.append(live)
         got_at.append(pos)
-        got_len.append(pick + 1)
-        where[live] = pos + pick + 1
-        live = live[where[live] < lat.ends[pos]]
+        got_slot.append(pick)
+        pos = pos + lat.size[pos, pick]
+        where[live] = pos
+        live = live[pos < lat.ends[got_at[-1]]]
         step += 1
     which = np.concatenate(which) if which else np.zeros(0, np.int64)
     order = np.argsort(which, kind="stable")
     cat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
-    return which[order], cat(got_at), cat(got_len)
+    return which[order], cat(got_at), cat(got_slot)
 
 
 class _Text:
     """One document's search: its words' lattice places, its samples and its queue of sets."""
 
-    __slots__ = ("words", "seed", "samples", "queue", "task", "asked")
+    __slots__ = ("words", "seed", "samples", "queue", "task", "total")
 
     def __init__(self, words: np.ndarray, seed: int):
-        self.words, self.seed, self.samples, self.asked = words, seed, [], 1
+        self.words, self.seed, self.samples, self.total = words, seed, [], 0.0
         g = -float(np.log(-np.log(unit(np.array([seed], U64), 1)[0])))
         self.queue = [(-g, 0, None, 0, 0, 0.0)]  # (-key, tie, base sample, pieces kept of it, barred lengths, log-mass of the prefix)
         self.task = None
 
 
-def _split(t: _Text, lat: Lattice, at: np.ndarray, size: np.ndarray, word: np.ndarray, kept: int, barred: int, key: float, before: float, k: int, ties) -> None:
-    """Record a sample and queue what is left of its set."""
-    logs = lat.log[at[kept:], size[kept:] - 1]
-    prefix = before + np.concatenate([[0.0], np.cumsum(logs)])
-    number = len(t.samples)
-    t.samples.append((at, size, word, key, float(prefix[-1])))
-    if not len(logs):
-        return
-    left = np.maximum(0.0, 1.0 - lat.p[at[kept:], size[kept:] - 1])
-    left[lat.last[at[kept:]] == np.argmax(lat.p[at[kept:]] > 0, axis=1)] = 0.0  # no other piece here
-    bars = (1 << (size[kept:].astype(np.int64) - 1)).copy()
-    bars[0] |= barred
-    # at the set's own place the barred lengths are gone too, and what is left is summed anew: no cancellation
-    free = lat.p[at[kept]] * ((int(bars[0]) >> np.arange(lat.p.shape[1])) & 1 == 0)
-    left[0] = free.sum()
-    near = np.flatnonzero(left[1:] < 1e-6) + 1
-    if len(near):
-        rows = lat.p[at[kept + near]].copy()
-        rows[np.arange(len(near)), size[kept + near] - 1] = 0.0
-        left[near] = rows.sum(axis=1)
-    some = np.flatnonzero(left > 0)
-    if not len(some):
+#: No Gumbel draw from `unit` exceeds this.
+NOISE = 38.0
+
+
+CHUNK = 192
+
+
+def _draws(lat: Lattice, at, slot, logs, left, before, key, seed, number, first):
+    """Keys of the sets that split off at each piece, and the log-mass of the prefix before it; rows are documents."""
+    prefix = before[:, None] + np.concatenate([np.zeros((len(logs), 1)), np.cumsum(logs, axis=1)], axis=1)
+    with np.errstate(divide="ignore"):
+        mass = prefix[:, :-1] + np.log(left)
+    u = unit(seed[:, None], (U64(1 << 40) * (number + U64(1)))[:, None] + (first + np.arange(logs.shape[1])).astype(U64)[None, :])
+    return mass - np.logaddexp(mass - key[:, None], np.log(-np.log(u))), prefix
+
+
+def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges: np.ndarray, k: int, ties) -> None:
+    """Record the samples of some documents and queue what is left of their sets.
+
+    Each task is (text, key, kept, barred, before); its sample's new pieces are got and slot between its edges. Sets
+    split off further along have less mass; where even the largest draw could not lift one among the best k, the rest
+    cannot matter and is not drawn."""
+    logs = lat.log[got, slot]
+    total = np.concatenate([[0.0], np.cumsum(logs)])
+    tasks = [(i, *t) for i, t in enumerate(tasks)]
+    for i, t, _, _, _, before in tasks:
+        t.total = before + float(total[edges[i + 1]] - total[edges[i]])
+    tasks = [t for t in tasks if edges[t[0] + 1] > edges[t[0]]]
+    if not tasks:
         return
-    mass = prefix[some] + np.log(left[some])
-    u = unit(np.full(len(some), t.seed, U64), (U64(1 << 40) * U64(number + 1)) + some.astype(U64))
-    keys = mass - np.logaddexp(mass - key, np.log(-np.log(u)))
-    best = some if len(some) <= k else some[np.argpartition(-keys, k - 1)[:k]]
-    key_of = dict(zip(some.tolist(), keys.tolist()))
-    for i in best.tolist():
-        heapq.heappush(t.queue, (-key_of[i], next(ties), number, kept + i, int(bars[i]), float(prefix[i])))
+    lo, hi = (np.array([edges[t[0] + x] for t in tasks]) for x in (0, 1))
+    texts, key, kept, barred, before = (list(x) for x in list(zip(*tasks))[1:])
+    seed, number = np.array([t.seed for t in texts], U64), np.array([len(t.samples) for t in texts], U64)
+    key, before, bars = np.array(key), np.array(before), np.array(barred, np.int64)
+    best: list[list[tuple]] = [[] for _ in tasks]
+    live, start = np.arange(len(tasks)), 0
+    while len(live):
+        idx = lo[live, None] + np.arange(start, start + CHUNK)
+        valid = idx < hi[live, None]
+        idx = np.where(valid, idx, lo[live, None])
+        own, pick = got[idx], slot[idx]
+        left = np.where(valid, lat.others[own, pick], 0.0)
+        if start == 0:
+            gone = bars[live] | (1 << pick[:, 0])
+            left[:, 0] = np.where((gone[:, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[own[:, 0]]).sum(axis=1)
+        keys, prefix = _draws(lat, own, pick, np.where(valid, logs[idx], 0.0), left, before[live], key[live], seed[live], number[live], start)
+        before[live] = prefix[:, -1]
+        keys[left <= 0] = -np.inf
+        top = np.argpartition(-keys, min(k, CHUNK) - 1, axis=1)[:, :k]
+        for row, d in enumerate(live.tolist()):
+            mine = best[d]
+            for x in top[row].tolist():
+                if keys[row, x] > -np.inf:
+                    mine.append((float(keys[row, x]), kept[d] + start + x, (1 << int(pick[row, x])) | (barred[d] if start + x == 0 else 0), float(prefix[row, x])))
+            mine.sort(key=lambda b: -b[0])
+            del mine[k:]
+        start += CHUNK
+        live = np.array([d for d in live.tolist() if lo[d] + start < hi[d] and (len(best[d]) < k or before[d] + NOISE >= best[d][k - 1][0])], np.int64)
+    for t, found in zip(texts, best):
+        for value, place, b, mass in found:
+            heapq.heappush(t.queue, (-value, next(ties), len(t.samples), place, b, mass))
 
 
 def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -271,27 +335,19 @@ def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndar
             break
         which, got, size = _forward(lat, np.concatenate(at), np.concatenate(seed), np.concatenate(number), np.concatenate(barred))
         edges = np.searchsorted(which, np.concatenate([[0], np.cumsum(cuts)]))
-        offset, i = 0, 0
-        for t in texts:
-            if t.task is None:
-                continue
-            key, kept, bars, before, head, word0 = t.task
+        done = [t for t in texts if t.task is not None]
+        _split([(t, *t.task[:4]) for t in done], lat, got, size, edges, k, ties)
+        offset = 0
+        for i, t in enumerate(done):
+            key, *_, head, word0 = t.task
             lo, hi = edges[i], edges[i + 1]
-            full = [np.concatenate([x, y]) for x, y in zip(head, (got[lo:hi], size[lo:hi], which[lo:hi] - offset + word0))]
-            _split(t, lat, *full, kept, bars, key, before, k, ties)
-            offset, i = offset + cuts[i], i + 1
+            own = (got[lo:hi], size[lo:hi], which[lo:hi] - offset + word0)
+            t.samples.append((*(np.concatenate([x, y]) if len(x) else y for x, y in zip(head, own)), key, t.total))
+            offset += cuts[i]
     out = []
     for t in texts:
         kappa = -t.queue[0][0] if t.queue else -np.inf
-        rows = []
-        for at, size, _, key, logp in t.samples:
-            score = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(logp - kappa)))
-            ids = lat.ids[at, size - 1]
-            if (ids < 0).any():
-                parts = [[i] if i >= 0 else [v.bytes[b] for b in chr(lat.spelling[p]).encode()] for i, p in zip(ids.tolist(), at.tolist())]
-                ids = np.array([x for part in parts for x in part], np.int32)
-            rows.append((ids, logp, key, score))
-        out.append(rows)
+        out.append([(lat.spell(at, slot), logp, key, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(logp - kappa)))) for at, slot, _, key, logp in t.samples])
     return out
 
 
