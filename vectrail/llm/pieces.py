@@ -144,7 +144,7 @@ class Lattice:
             at = by_room[edge[r] : edge[r + 1]]
             y = x[at] + np.where(self.size[at] == r + 1, 0.0, back[at[:, None] + self.size[at]])
             top = y.max(axis=1, keepdims=True)
-            total = top + np.log(np.exp(y - top).sum(axis=1, keepdims=True))
+            total = top + np.log(np.cumsum(np.exp(y - top), axis=1)[:, -1:])  # in order, whatever the number of slots
             back[at] = total[:, 0]
             x[at] = y - total
         p = np.exp(x)
@@ -233,14 +233,15 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
     split off further along have less mass; where even the largest draw could not lift one among the best k, the rest
     cannot matter and is not drawn."""
     logs = lat.log[got, slot]
-    total = np.concatenate([[0.0], np.cumsum(logs)])
     tasks = [(i, *t) for i, t in enumerate(tasks)]
-    for i, t, _, _, _, before in tasks:
-        t.total = before + float(total[edges[i + 1]] - total[edges[i]])
+    for _, t, _, _, _, before in tasks:
+        t.total = before
     tasks = [t for t in tasks if edges[t[0] + 1] > edges[t[0]]]
     if not tasks:
         return
     lo, hi = (np.array([edges[t[0] + x] for t in tasks]) for x in (0, 1))
+    for (_, t, *_), own in zip(tasks, np.add.reduceat(logs, lo).tolist()):
+        t.total += own
     texts, key, kept, barred, before = (list(x) for x in list(zip(*tasks))[1:])
     seed, number = np.array([t.seed for t in texts], U64), np.array([len(t.samples) for t in texts], U64)
     key, before, bars = np.array(key), np.array(before), np.array(barred, np.int64)
@@ -254,7 +255,7 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
         left = np.where(valid, lat.others[own, pick], 0.0)
         if start == 0:
             gone = bars[live] | (1 << pick[:, 0])
-            left[:, 0] = np.where((gone[:, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[own[:, 0]]).sum(axis=1)
+            left[:, 0] = np.cumsum(np.where((gone[:, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[own[:, 0]]), axis=1)[:, -1]
         keys, prefix = _draws(lat, own, pick, np.where(valid, logs[idx], 0.0), left, before[live], key[live], seed[live], number[live], start)
         before[live] = prefix[:, -1]
         keys[left <= 0] = -np.inf
