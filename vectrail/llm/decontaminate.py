@@ -21,6 +21,7 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def _hash(columns) -> np.ndarray:
     return h
 
 
-def _scan(text_at: int, index, has_before: bool):
+def _scan(text_at: int, index, has_before: bool, name: str):
     def run(batches):
         idx = index.value
         get = idx.vocab.get
@@ -119,7 +120,7 @@ def _scan(text_at: int, index, has_before: bool):
                 out.append({"n_words": size, "starts": [a for a, _ in merged], "ends": [b for _, b in merged], "items": sorted(items)})
             kind = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
             columns = batch.columns[: batch.num_columns - has_before]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*batch.schema.names[: len(columns)], "found"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*batch.schema.names[: len(columns)], name])
 
     return run
 
@@ -146,7 +147,7 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, *, text: str = "tex
     at = documents.columns.index(text)
     schema = with_schema(documents, **{name: FOUND})
     for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
-        out = out.mapInArrow(_scan(at, spark.sparkContext.broadcast(Index(block, n)), k > 0), schema)
+        out = out.mapInArrow(_scan(at, spark.sparkContext.broadcast(Index(block, n)), k > 0, name), schema)
     return out, name
 
 
@@ -190,7 +191,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, remove: str = "
 
     @F.pandas_udf("string")
     def cut(texts, starts, ends):
-        return texts.combine(list(zip(starts, ends)), lambda t, s: None if t is None else cut_words(t, *map(list, s)))
+        return pd.Series([None if t is None else cut_words(t, list(a), list(b)) for t, a, b in zip(texts, starts, ends)], dtype=object)
 
     f = F.col(name)
     where = F.when(f["contaminated"], cut(F.col(text), f["starts"], f["ends"])).otherwise(F.col(text))

@@ -120,12 +120,12 @@ def _checks(value: Column, name: str, schema: dict) -> list[tuple[str, Column]]:
 
 def errors_of(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     """Sorted schema errors of a call, as an array."""
-    found = []
-    for tool, schema in schemas.items():
-        found += [F.when(mine & bad, F.lit(e)) for e, bad in _checks(arguments, "arguments", schema) for mine in (F.coalesce(name == tool, F.lit(False)),)]
     known = F.coalesce(name.isin(list(schemas)), F.lit(False))
     shape = F.coalesce(~F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(True))
-    found += [F.when(~known, F.lit("unknown tool")), F.when(shape, F.lit("arguments"))]
+    found = [F.when(~known, F.lit("unknown tool")), F.when(shape, F.lit("arguments"))]
+    for tool, schema in schemas.items():
+        mine = F.coalesce(name == tool, F.lit(False)) & ~shape
+        found += [F.when(mine & bad, F.lit(e)) for e, bad in _checks(arguments, "arguments", schema)]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
 

@@ -176,12 +176,12 @@ def _featured(text_at: int, shared):
     return run
 
 
-def _scored(text_at: int, shared):
+def _scored(text_at: int, shared, name: str):
     def run(batches):
         model, cache = shared.value, {}
         for batch in batches:
             p = model.probability(_features(model, cache, *binary_parts(batch.column(text_at))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
     return run
 
@@ -232,7 +232,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> tuple[Da
     """Every row and column of `documents` with its score, and the score column's name."""
     name = fresh(documents, "score")
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.mapInArrow(_scored(documents.columns.index(text), shared), with_schema(documents, **{name: T.DoubleType()})), name
+    return documents.mapInArrow(_scored(documents.columns.index(text), shared, name), with_schema(documents, **{name: T.DoubleType()})), name
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text: str = "text", **options) -> DataFrame:
