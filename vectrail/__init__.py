@@ -1,0 +1,3 @@
+"""Vector search and corpus processing on Spark DataFrames."""
+
+__version__ = "0.1.0"

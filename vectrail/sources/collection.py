@@ -139,14 +139,12 @@ class Collection:
             numbered = oplog.assign_ids(batch.select(order, F.col("vector").cast("array<float>").alias("vector"), "metadata"), order, self.max_vector_id)
             seq = F.col("vector_id") - self.max_vector_id + self.max_seq
             op = F.when(F.col("metadata").isNull(), oplog.INSERT).otherwise(oplog.INSERT_META)
-            where = f"{self.path}/log-{self.version}/segment-{self.segments}"
             first = self.max_vector_id
             self._append(numbered.select(seq.alias("seq"), op.alias("op"), "vector_id", "vector", "metadata"), found["n"])
             self.max_vector_id += found["n"]
             self._commit()
             self._maintain()
-            positions = batch.select(order)
-            return oplog.assign_ids(positions, order, first).select(order, "vector_id") if where else positions
+            return oplog.assign_ids(batch.select(order), order, first).select(order, "vector_id")
         return batch.select(order, F.lit(None).cast("long").alias("vector_id"))
 
     def insert_batch(self, vectors: list, metadata: list | None = None) -> list[int]:
