@@ -3,7 +3,7 @@ texts, contaminated documents go, and what is left is segmented into pieces.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. `run`
 writes each stage's rows to the shared folder and reads them back for the next, so that a lost executor costs tasks of
-one stage and no stage runs twice. Where a text changes, n_chars follows it.
+one stage and no stage runs twice; a stage's rows are deleted once the next stage's are written. Where a text changes, n_chars follows it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.llm import decontaminate, pieces, simhash, suffix, toxicity
-from vectrail.llm.common import read_table, shared_table_path
+from vectrail.llm.common import delete_table, read_table, shared_table_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         where = shared_table_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(where)
-        docs = spark.read.parquet(where)
+        if before:
+            delete_table(spark, before)
+        docs, before = spark.read.parquet(where), where
     return docs
