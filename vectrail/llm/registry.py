@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from vectrail.llm import ann, decontaminate, extract, pieces, repair, simhash, substring, suffix, toolcalls, toxicity
+from vectrail.llm import ann, decontaminate, extract, oracles, pieces, repair, simhash, substring, suffix, toolcalls, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -23,4 +23,8 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_tool_call_linking": toolcalls.ORACLE}
+    return {
+        "op2_decontaminate": oracles.DECONTAMINATE,
+        "op7_countmin_substrings": oracles.SUBSTRINGS,
+        "op8_tool_call_linking": toolcalls.ORACLE,
+    }
