@@ -162,3 +162,18 @@ def test_graph_crosses_rows_that_do_not_match():
 def test_graph_selects_diverse_neighbours():
     g = graph.Graph(np.array([[1.0], [1.1], [-2.0]]), np.arange(3), graph.GraphConfig(), Metric.L2)
     assert [n for _, n in g._diverse([(1.0, 0), (1.21, 1), (4.0, 2)], 2)] == [0, 2]
+
+
+def test_newer_and_deleted_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-1, 1, (80, 6))
+    df, q = frame(spark, x, lambda i: {"parity": i % 2}), ask(spark, x[60:66])
+    live = df.filter("vector_id % 7 <> 0")
+    index = graph.GraphIndex.build(df.filter("vector_id <= 50"), "l2", graph.GraphConfig(ef_construction=40))
+    truth = search.knn_batch(live, q, 5)
+    assert hits(index.search_fresh(q, 5, live, 50, 60)) == hits(truth)
+    even = {"Eq": {"key": "parity", "value": 0}}
+    assert hits(index.search_fresh(q, 5, live, 50, 60, even)) == hits(search.knn_batch(live.filter("vector_id % 2 = 1"), q, 5))
+    books = pq.Codebooks(np.asarray(x[:16], np.float32).reshape(16, 2, 3).transpose(1, 0, 2))
+    ivf = ivfpq.IvfPqIndex.from_trained(df, x[:4], books).only(live)
+    assert all(i % 7 for rows in hits(ivf.search_batch(q, 10, 4, 4)).values() for i, _ in rows)

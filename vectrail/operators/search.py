@@ -120,6 +120,16 @@ def search(vectors: DataFrame, query, k: int, metric: Metric | str = Metric.L2,
     return knn(vectors, query, k, metric, found)
 
 
+def merge_hits(parts: list[DataFrame], k: int) -> DataFrame:
+    """The k nearest of several results (q_id, rank, vector_id, distance); a vector counts once, at its least distance."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    once = both.groupBy("q_id", "vector_id").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("q_id").orderBy("distance", "vector_id")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q_id", "rank", "vector_id", "distance")
+
+
 def recall(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(recall) averaged over the truth's queries: |found and true| / k."""
     both = truth.select("q_id", "vector_id").join(hits.select("q_id", "vector_id"), ["q_id", "vector_id"]).groupBy("q_id").agg(F.count("*").alias("n"))
