@@ -25,6 +25,7 @@ import os
 import sys
 import unicodedata
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import as_long, binary_parts, read_table, row_keys, shared_table_path, shuffle_parts, slices
+from vectrail.llm.common import U64, Rolling, as_long, binary_parts, mix, read_table, row_keys, shared_table_path, shuffle_parts, slices
 
 MAGIC = b"RPG1"
 TERMINALS = 50_257
@@ -41,10 +42,11 @@ RULES = 65_536 - TERMINALS
 BLOCK = 1 << 19
 ROUNDS = 6
 PAIRS = 2_400
-CACHE = 400_000
+CACHE = 500_000
 END = 0
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_code = Rolling(12)
 _state: dict = {}
 
 
@@ -90,52 +92,86 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _numbers(self, words: list[str]) -> list[int]:
-        got = list(map(self.known.get, words))
-        if None in got:
-            if len(self.known) > CACHE:
-                self.known.clear(), self.ids.clear()
-                got = [None] * len(words)
-            new = list({w for w, g in zip(words, got) if g is None})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint16))
-            got = list(map(self.known.__getitem__, words))
-        return got
+        self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)  # ids of all known words in a row
+        self.used = np.zeros(0, np.int32)  # slices that had the word
+
+    def _shrink(self) -> None:
+        """Forget the words that one slice had; of the others at most half the cache, the most used."""
+        numbers = np.fromiter(self.known.values(), np.int64, len(self.known))
+        used = self.used[numbers]
+        least = max(2, int(np.partition(used, -(CACHE // 2))[-(CACHE // 2)]) if len(used) > CACHE // 2 else 2)
+        keep = used >= least
+        kept = numbers[keep]
+        n = self.ends[kept + 1] - self.ends[kept]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self.flat = self.flat[np.repeat(self.ends[kept] - ends[:-1], n) + np.arange(ends[-1])]
+        self.ends, self.used = ends, used[keep] // 2
+        self.known = {w: i for i, w in enumerate(w for w, k in zip(self.known, keep.tolist()) if k)}
+
+    def _add(self, parts: list) -> int:
+        """Append words' ids; the number of the first."""
+        first = len(self.ends) - 1
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(parts), np.uint16)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        self.used = np.concatenate([self.used, np.zeros(len(parts), np.int32)])
+        return first
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(miss := np.flatnonzero(out < 0)):
+            new = list(dict.fromkeys(words[m] for m in miss.tolist()))
+            first = self._add([e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+            self.known.update(zip(new, range(first, first + len(new))))
+            out[miss] = [self.known[words[m]] for m in miss.tolist()]
+        self.used[out] += 1
+        return out
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and their numbers."""
+        if len(self.known) > CACHE:
+            self._shrink()
         text = raw.tobytes().decode()
         at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]
-        odd = [k for k in range(len(off) - 1) if "'" in text[at[k] : at[k + 1]]] if "'" in text else []
-        whole = [k for k in range(len(off) - 1) if any(s in text[at[k] : at[k + 1]] for s in self.special)] if any(s in text for s in self.special) else []
-        starts = pretoken_starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), at)
-        by_doc = np.searchsorted(starts, at)
-        ends = np.append(starts[1:], len(text)) if len(starts) else starts
-        words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        if not odd and not whole:
-            return self._join(words, np.diff(by_doc))
-        parts, sizes = [], []
-        for k in range(len(off) - 1):
-            if k in whole:
-                ids = np.array(self.tokenizer.encode(text[at[k] : at[k + 1]], add_special_tokens=False).ids, np.uint16)
-            else:
-                own = self.pattern.findall(text[at[k] : at[k + 1]]) if k in odd else words[by_doc[k] : by_doc[k + 1]]
-                ids = self._join(own, np.array([len(own)]))[0]
-            parts.append(ids)
-            sizes.append(len(ids))
-        return np.concatenate(parts or [np.zeros(0, np.uint16)]), np.array(sizes, np.int64)
-
-    def _join(self, words: list[str], by_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        numbers = self._numbers(words)
-        parts = list(map(self.ids.__getitem__, numbers))
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        total = np.concatenate([[0], np.cumsum(lens)])
-        edges = total[np.concatenate([[0], np.cumsum(by_doc)])]
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint16)), np.diff(edges)
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts = pretoken_starts(chars, at)
+        edges = np.searchsorted(starts, at)
+        numbers = self._spans(text, chars, starts, np.append(starts[1:], len(text)) if len(starts) else starts)
+        odd = "'" in text or any(x in text for x in self.special)
+        if odd:  # texts that the plain cut doesn't hold for
+            parts = []
+            for k in range(len(off) - 1):
+                own = text[at[k] : at[k + 1]]
+                if any(x in own for x in self.special):
+                    parts.append(np.array([self._add([self.tokenizer.encode(own, add_special_tokens=False).ids])]))
+                elif "'" in own:
+                    parts.append(self._numbers(self.pattern.findall(own)))
+                else:
+                    parts.append(numbers[edges[k] : edges[k + 1]])
+            numbers = np.concatenate(parts)
+            edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        first, n = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
+        return ids, np.diff(total[edges])
+
+    def _spans(self, text: str, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the words between starts and ends; only distinct words become strings."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        h = _code.ranges(_code.of_values(mix(chars.astype(U64) + U64(1))), starts, ends)
+        _, rep, kind = np.unique(h, return_index=True, return_inverse=True)
+        sizes = ends - starts
+        if (sizes != sizes[rep][kind]).any() or (chars != chars[np.repeat(starts[rep][kind] - starts, sizes) + np.arange(len(chars))]).any():
+            rep = kind = np.arange(len(starts))  # two words of one hash
+        return self._numbers([text[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist())])[kind]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, most: int = PAIRS, least: int = 4) -> bytes:
@@ -160,13 +196,16 @@ def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, most: int
             pick = pick[np.argsort(-times[pick], kind="stable")[:room]]
         if not len(pick):
             break
-        chosen = np.sort(ordered[edge[pick]])
-        left, right = np.zeros(65_536, bool), np.zeros(65_536, bool)
-        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & ~last[:-1])
-        rule = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[rule] == key[at]
-        at, rule = at[hit], rule[hit]
+        chosen = ordered[edge[pick]]
+        own = _slot(chosen)
+        table, number = np.zeros(1 << 16, np.uint32), np.full(1 << 16, -1, np.int64)
+        table[own], number[own] = chosen, np.arange(len(chosen))
+        stays = number[own] == np.arange(len(chosen))  # of two pairs in one slot one waits for the next round
+        chosen = chosen[stays]
+        number[own[stays]] = np.arange(len(chosen))
+        slot = _slot(key)
+        at = np.flatnonzero((table[slot] == key) & (number[slot] >= 0) & ~last[:-1])
+        rule = number[slot[at]]
         run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1])) if len(at) else at
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         at, rule = at[place % 2 == 0], rule[place % 2 == 0]
@@ -209,13 +248,16 @@ class Block:
         self.rules = take("<u2", 2 * rules).reshape(-1, 2)
         self.lens = np.concatenate([np.ones(TERMINALS, np.int64), take("<u4", rules)])
         self.seq, self.symbols, self.sizes = take("<u2", symbols), take("<u4", docs), take("<u4", docs)
-        table: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            left = table[a - TERMINALS] if a >= TERMINALS else np.array([a], np.uint16)
-            right = table[b - TERMINALS] if b >= TERMINALS else np.array([b], np.uint16)
-            table.append(np.concatenate([left, right]))
-        self.flat = np.concatenate([np.arange(TERMINALS, dtype=np.uint16), *table])
-        self.first = np.concatenate([[0], np.cumsum(self.lens)])
+        self.flat, self.first = np.arange(TERMINALS, dtype=np.uint16), np.arange(TERMINALS + 1)
+        high, i = self.rules.max(axis=1, initial=0), 0
+        while i < rules:  # the rules up to the first that refers to one of them expand together
+            late = np.flatnonzero(high[i:] >= TERMINALS + i)
+            j = i + int(late[0]) if len(late) else rules
+            if j == i:
+                raise ValueError("a rule refers to itself or a later one")
+            self.flat = np.concatenate([self.flat, self.expand(self.rules[i:j].ravel())])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(self.lens[TERMINALS + i : TERMINALS + j])])
+            i = j
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         n = self.lens[seq]
@@ -254,7 +296,7 @@ def _write(path: str):
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
             names = batch.column(0).to_pylist()
-            for i, j in slices(off, 1 << 19):
+            for i, j in slices(off, 1 << 21):
                 got, n = encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids.append(np.insert(got, np.cumsum(n), END))
                 sizes.append(n + 1)
