@@ -242,10 +242,9 @@ def test_gumbel_top_k_draws_paths_by_their_probabilities():
             h = np.zeros(1, np.uint64)
             for c in x[:n]:
                 h = v.step(h, np.array([ord(c)], np.uint32))
-            keys, ids, w = v.tables[n - 1]
-            k = int(np.searchsorted(keys, h[0]))
-            if k < len(keys) and keys[k] == h[0] and ids[k] >= 0:
-                out += [((int(ids[k]), *p), w[k] + q) for p, q in paths(x[n:])]
+            k = int(v.find(h)[0])
+            if k >= 0 and v.ids[k] >= 0:
+                out += [((int(v.ids[k]), *p), v.weights[k] + q) for p, q in paths(x[n:])]
         return out
 
     word = "there on"

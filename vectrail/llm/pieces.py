@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import U64, Rolling, as_long, binary_parts, mix, read_table, slices
+from vectrail.llm.common import U64, Rolling, as_long, binary_parts, mix, read_table, release, slices
 
 MARK = "▁"
 LITERAL = 0x110000  # a U+2581 of the text itself
 BYTE = -12.0
-BACK = 1 << 14
+SLOTS = 19
 _code = Rolling(11)
 _state: dict = {}
 
@@ -44,12 +44,12 @@ _state: dict = {}
 def unit(seed: np.ndarray, number: np.ndarray | int) -> np.ndarray:
     """Uniform numbers in (0, 1) from row seeds and counters."""
     with np.errstate(over="ignore"):
-        x = mix(np.asarray(seed, U64) ^ mix(np.asarray(number, U64) * U64(0x9E3779B97F4A7C15) + U64(0x2545F4914F6CDD1D)))
+        x = mix(np.asarray(seed, U64) + np.asarray(number, U64) * U64(0x9E3779B97F4A7C15))
     return ((x >> U64(11)).astype(float) + 0.5) * 2.0**-53
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model: prefix tables by length, log-weights and spellings."""
+    """Pieces of a SentencePiece model: a table of their prefixes, log-weights and spellings."""
 
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
@@ -67,10 +67,15 @@ class Vocabulary:
                 h = self.step(np.array([h], U64), np.array([ord(c)], np.uint32))[0]
                 known[n].setdefault(int(h), (-1, -np.inf))
             known[len(p) - 1][int(h)] = (i, -alpha * float(np.log(2 + rank[i])))
-        self.tables = []
-        for t in known:
-            keys = np.array(sorted(t), U64)
-            self.tables.append((keys, np.array([t[int(k)][0] for k in keys], np.int32), np.array([t[int(k)][1] for k in keys])))
+        found = [(h, i, w) for t in known for h, (i, w) in t.items()]
+        self.ids, self.weights = np.array([x[1] for x in found], np.int32), np.array([x[2] for x in found])
+        # one open table of all prefixes: most questions end at its first, empty place
+        self.keys, self.place = np.zeros(1 << SLOTS, U64), np.full(1 << SLOTS, -1, np.int32)
+        for n, (h, _, _) in enumerate(found):
+            at = h >> (64 - SLOTS)
+            while self.place[at] >= 0:
+                at = (at + 1) % (1 << SLOTS)
+            self.keys[at], self.place[at] = h, n
         joined = {ord(c) for _, p in pieces if len(p) > 1 for c in p}
         self.alone = np.ones(LITERAL + 1, bool)
         self.alone[list(joined)] = False
@@ -80,13 +85,28 @@ class Vocabulary:
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each prefix hash; -1 for those of no piece."""
+        out, live = np.full(len(h), -1, np.int32), np.arange(len(h))
+        at = (h >> U64(64 - SLOTS)).astype(np.int64)
+        while len(live):
+            n = self.place[at]
+            hit = (self.keys[at] == h[live]) & (n >= 0)
+            out[live[hit]] = n[hit]
+            on = ~hit & (n >= 0)
+            live, at = live[on], (at[on] + 1) % (1 << SLOTS)
+        return out
+
     @staticmethod
     def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix(h * U64(0x9E3779B97F4A7C15) + c.astype(U64) + U64(1))
 
+    def decode_bytes(self, ids) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids))[1:]
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.spelled.__getitem__, ids)).decode()[1:]
+        return self.decode_bytes(ids).decode()
 
 
 def vocabulary(path: str, alpha: float) -> Vocabulary:
@@ -104,71 +124,86 @@ class Lattice:
         self.ends = np.repeat(np.cumsum(sizes), sizes)
         room = self.ends - np.arange(n)
         found, live, h = [], np.arange(n), np.zeros(n, U64)
-        single = np.zeros(n, bool)
+        per = np.zeros(n, np.int8)
         for k in range(v.longest):
             inside = room[live] > k
             live, h = live[inside], h[inside]
             if not len(live):
                 break
             h = v.step(h, chars[live + k])
-            keys, ids, w = v.tables[k]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            ok = keys[at] == h
+            at = v.find(h)
+            ok = at >= 0
             live, h, at = live[ok], h[ok], at[ok]
-            piece = ids[at] >= 0
-            found.append((live[piece], np.full(piece.sum(), k + 1, np.int8), ids[at[piece]], w[at[piece]]))
+            piece = v.ids[at] >= 0
+            place, at = live[piece], at[piece]
+            found.append((place, k + 1, v.ids[at], v.weights[at]))
+            per[place] += 1
             if not k:
-                single[live[piece]] = True
-        lone = np.flatnonzero(~single)
+                single = per > 0
+        lone = np.flatnonzero(~single) if n else np.zeros(0, np.int64)
         spelled = np.where(chars[lone] == LITERAL, ord(MARK), chars[lone])
         spans = 1 + (spelled > 0x7F) + (spelled > 0x7FF) + (spelled > 0xFFFF)
-        found.append((lone, np.ones(len(lone), np.int8), np.full(len(lone), -1, np.int32), BYTE * spans))
+        found.insert(0, (lone, 1, -1, BYTE * spans))
+        per[lone] += 1
         self.row = np.full(n, -1, np.int32)
         self.row[lone] = np.arange(len(lone))
         self.spans, self.byte_ids = spans.astype(np.int64), np.zeros((len(lone), 4), np.int32)
         for c in np.unique(spelled).tolist():
             parts = [v.bytes[b] for b in chr(c).encode()]
             self.byte_ids[spelled == c, : len(parts)] = parts
-        place, size, ids, weight = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        per = np.bincount(place, minlength=n)
-        slot = np.arange(len(place)) - np.repeat(np.cumsum(per) - per, per)
+        # slots stand by rows, the longest piece first: it mostly is the likeliest, and a draw seldom looks further
         width = int(per.max(initial=1))
-        self.size, self.ids, x = np.ones((n, width), np.int8), np.full((n, width), -1, np.int32), np.full((n, width), -np.inf)
-        self.size[place, slot], self.ids[place, slot], x[place, slot] = size[order], ids[order], weight[order]
+        self.size, self.ids = np.ones((width, n), np.int8), np.full((width, n), -1, np.int32)
+        self.log, self.cum = np.full((width, n), -np.inf), np.ones((width, n))
+        left = per.copy()
+        for place, size, ids, weight in found:
+            left[place] -= 1
+            slot = left[place]
+            self.size[slot, place], self.ids[slot, place], self.log[slot, place] = size, ids, weight
+        self.last = per - 1
         back = np.zeros(n + v.longest + 1)
-        by_room = np.argsort(room, kind="stable")
-        edge = np.searchsorted(room[by_room], np.arange(1, int(room.max(initial=0)) + 2))
+        key = room * 32 + (31 - per)
+        most = int(room.max(initial=0))
+        order = np.argsort(key.astype(np.uint16) if most < 2000 else key, kind="stable")
+        edge = np.searchsorted(room[order], np.arange(1, most + 2))
         for r in range(len(edge) - 1):
-            at = by_room[edge[r] : edge[r + 1]]
-            y = x[at] + np.where(self.size[at] == r + 1, 0.0, back[at[:, None] + self.size[at]])
-            top = y.max(axis=1, keepdims=True)
-            total = top + np.log(np.cumsum(np.exp(y - top), axis=1)[:, -1:])  # in order, whatever the number of slots
-            back[at] = total[:, 0]
-            x[at] = y - total
-        p = np.exp(x)
-        self.log, self.p, self.cum = x, p, np.cumsum(p, axis=1)
-        none = np.zeros((n, 1))
-        ahead = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
-        self.others = np.concatenate([none, self.cum[:, :-1]], axis=1) + np.concatenate([ahead[:, 1:], none], axis=1)
-        self.last = width - 1 - np.argmax((p > 0)[:, ::-1], axis=1)
-
-    def spell(self, at: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Ids of pieces; characters in bytes become their byte pieces."""
-        ids = self.ids[at, slot]
+            at = order[edge[r] : edge[r + 1]]
+            if not len(at):
+                continue
+            has = np.searchsorted(-per[at].astype(np.int64), -np.arange(int(per[at[0]])), side="left")
+            rows = []
+            for s, c in enumerate(has.tolist()):
+                a = at[:c]
+                size = self.size[s, a]
+                rows.append(self.log[s, a] + np.where(size == r + 1, 0.0, back[a + size]))
+            top = rows[0].copy()
+            for y in rows[1:]:
+                np.maximum(top[: len(y)], y, out=top[: len(y)])
+            sums, parts = np.zeros(len(at)), []
+            for y in rows:
+                sums[: len(y)] += np.exp(y - top[: len(y)])
+                parts.append(sums[: len(y)].copy())
+            total = top + np.log(sums)
+            back[at] = total
+            for s, (y, c) in enumerate(zip(rows, parts)):
+                a = at[: len(y)]
+                y -= total[: len(y)]
+                self.log[s, a], self.cum[s, a] = y, c / sums[: len(y)]
+
+    def spell(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and their numbers: characters in bytes become their byte pieces."""
+        ids, lens = self.ids[slot, at], np.ones(len(at), np.int64)
         lone = np.flatnonzero(ids < 0)
         if not len(lone):
-            return ids
+            return ids, lens
         row = self.row[at[lone]]
-        lens = np.ones(len(ids), np.int64)
         lens[lone] = self.spans[row]
         out = np.repeat(ids, lens)
         first = (np.cumsum(lens) - lens)[lone]
         for k in range(4):
             has = self.spans[row] > k
             out[first[has] + k] = self.byte_ids[row[has], k]
-        return out
+        return out, lens
 
 
 def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray, barred: np.ndarray):
@@ -180,15 +215,22 @@ def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray,
     while len(live):
         pos = where[live]
         u = unit(seed[live], n[live] + U64(step))
-        pick = np.minimum((u[:, None] >= lat.cum[pos]).sum(axis=1), lat.last[pos])
+        pick, open_, row = np.zeros(len(pos), np.int64), np.arange(len(pos)), 0
+        while True:
+            open_ = open_[u[open_] >= lat.cum[row, pos[open_]]]
+            open_ = open_[lat.last[pos[open_]] > row]
+            if not len(open_):
+                break
+            row += 1
+            pick[open_] = row
         if step == 0 and len(some := np.flatnonzero(barred)):
-            p = np.where((barred[some, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[pos[some]])
-            cum = np.cumsum(p, axis=1)
-            pick[some] = np.minimum((u[some, None] * cum[:, -1:] >= cum).sum(axis=1), p.shape[1] - 1 - np.argmax((p > 0)[:, ::-1], axis=1))
+            p = np.where((barred[some] >> np.arange(len(lat.log))[:, None]) & 1 == 1, 0.0, np.exp(lat.log[:, pos[some]]))
+            cum = np.cumsum(p, axis=0)
+            pick[some] = np.minimum((u[some] * cum[-1] >= cum).sum(axis=0), len(p) - 1 - np.argmax((p > 0)[::-1], axis=0))
         which.append(live)
         got_at.append(pos)
         got_slot.append(pick)
-        pos = pos + lat.size[pos, pick]
+        pos = pos + lat.size[pick, pos]
         where[live] = pos
         live = live[pos < lat.ends[got_at[-1]]]
         step += 1
@@ -210,6 +252,8 @@ class _Text:
         self.task = None
 
 
+#: Bytes that are searched together; the more, the fewer lattices of the same words.
+SLICE = 1 << 20
 #: No Gumbel draw from `unit` exceeds this.
 NOISE = 38.0
 
@@ -217,22 +261,13 @@ NOISE = 38.0
 CHUNK = 192
 
 
-def _draws(lat: Lattice, at, slot, logs, left, before, key, seed, number, first):
-    """Keys of the sets that split off at each piece, and the log-mass of the prefix before it; rows are documents."""
-    prefix = before[:, None] + np.concatenate([np.zeros((len(logs), 1)), np.cumsum(logs, axis=1)], axis=1)
-    with np.errstate(divide="ignore"):
-        mass = prefix[:, :-1] + np.log(left)
-    u = unit(seed[:, None], (U64(1 << 40) * (number + U64(1)))[:, None] + (first + np.arange(logs.shape[1])).astype(U64)[None, :])
-    return mass - np.logaddexp(mass - key[:, None], np.log(-np.log(u))), prefix
-
-
 def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges: np.ndarray, k: int, ties) -> None:
     """Record the samples of some documents and queue what is left of their sets.
 
     Each task is (text, key, kept, barred, before); its sample's new pieces are got and slot between its edges. Sets
     split off further along have less mass; where even the largest draw could not lift one among the best k, the rest
     cannot matter and is not drawn."""
-    logs = lat.log[got, slot]
+    logs = lat.log[slot, got]
     tasks = [(i, *t) for i, t in enumerate(tasks)]
     for _, t, _, _, _, before in tasks:
         t.total = before
@@ -251,22 +286,40 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
         idx = lo[live, None] + np.arange(start, start + CHUNK)
         valid = idx < hi[live, None]
         idx = np.where(valid, idx, lo[live, None])
-        own, pick = got[idx], slot[idx]
-        left = np.where(valid, lat.others[own, pick], 0.0)
-        if start == 0:
-            gone = bars[live] | (1 << pick[:, 0])
-            left[:, 0] = np.cumsum(np.where((gone[:, None] >> np.arange(lat.p.shape[1])) & 1 == 1, 0.0, lat.p[own[:, 0]]), axis=1)[:, -1]
-        keys, prefix = _draws(lat, own, pick, np.where(valid, logs[idx], 0.0), left, before[live], key[live], seed[live], number[live], start)
+        prefix = before[live, None] + np.concatenate([np.zeros((len(live), 1)), np.cumsum(np.where(valid, logs[idx], 0.0), axis=1)], axis=1)
         before[live] = prefix[:, -1]
-        keys[left <= 0] = -np.inf
-        top = np.argpartition(-keys, min(k, CHUNK) - 1, axis=1)[:, :k]
-        for row, d in enumerate(live.tolist()):
-            mine = best[d]
-            for x in top[row].tolist():
-                if keys[row, x] > -np.inf:
-                    mine.append((float(keys[row, x]), kept[d] + start + x, (1 << int(pick[row, x])) | (barred[d] if start + x == 0 else 0), float(prefix[row, x])))
-            mine.sort(key=lambda b: -b[0])
-            del mine[k:]
+        u = unit(seed[live, None], (U64(1 << 40) * (number[live] + U64(1)))[:, None] + (start + np.arange(CHUNK)).astype(U64)[None, :])
+        noise = np.log(-np.log(u))
+        # a key grows with its set's mass, which the prefix bounds
+        bound = np.where(valid, prefix[:, :-1] - np.logaddexp(prefix[:, :-1] - key[live, None], noise), -np.inf)
+        rows, take = np.arange(len(live)), min(CHUNK, 8 * k)
+        while len(rows):
+            some = np.argpartition(-bound[rows], take - 1, axis=1)[:, :take]
+            at = idx[rows[:, None], some]
+            own, pick = got[at], slot[at]
+            rest = np.exp(lat.log[:, own])
+            np.put_along_axis(rest, pick[None], 0.0, axis=0)
+            if start == 0:
+                head = (some == 0)[None] & ((bars[live[rows]] >> np.arange(len(rest))[:, None]) & 1 == 1)[:, :, None]
+                rest[head] = 0.0
+            left = np.cumsum(rest, axis=0)[-1]
+            with np.errstate(divide="ignore"):
+                mass = prefix[rows[:, None], some] + np.log(left)
+            keys = mass - np.logaddexp(mass - key[live[rows], None], noise[rows[:, None], some])
+            keys[(left <= 0) | ~valid[rows[:, None], some]] = -np.inf
+            worst = np.sort(keys, axis=1)[:, -k] if take >= k else np.full(len(rows), -np.inf)
+            # those where a set that wasn't drawn could still be among the best are drawn in full
+            done = (take == CHUNK) | ((bound[rows] > worst[:, None]).sum(axis=1) <= (bound[rows[:, None], some] > worst[:, None]).sum(axis=1))
+            for r in np.flatnonzero(done).tolist():
+                d = int(live[rows[r]])
+                mine = best[d]
+                for x in np.argsort(-keys[r], kind="stable")[:k].tolist():
+                    if keys[r, x] > -np.inf:
+                        j = int(some[r, x])
+                        mine.append((float(keys[r, x]), kept[d] + start + j, (1 << int(pick[r, x])) | (barred[d] if start + j == 0 else 0), float(prefix[rows[r], j])))
+                mine.sort(key=lambda b: -b[0])
+                del mine[k:]
+            rows, take = rows[~done], min(CHUNK, 3 * take)
         start += CHUNK
         live = np.array([d for d in live.tolist() if lo[d] + start < hi[d] and (len(best[d]) < k or before[d] + NOISE >= best[d][k - 1][0])], np.int64)
     for t, found in zip(texts, best):
@@ -345,10 +398,15 @@ def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndar
             own = (got[lo:hi], size[lo:hi], which[lo:hi] - offset + word0)
             t.samples.append((*(np.concatenate([x, y]) if len(x) else y for x, y in zip(head, own)), key, t.total))
             offset += cuts[i]
+    every = [x for t in texts for x in t.samples]
+    counts = np.array([len(x[0]) for x in every], np.int64)
+    ids, lens = lat.spell(np.concatenate([x[0] for x in every]), np.concatenate([x[1] for x in every])) if every else (np.zeros(0, np.int32), counts)
+    total = np.concatenate([[0], np.cumsum(lens)])
+    spelled = iter(np.split(ids, total[np.cumsum(counts)[:-1]]) if every else ())
     out = []
     for t in texts:
         kappa = -t.queue[0][0] if t.queue else -np.inf
-        out.append([(lat.spell(at, slot), logp, key, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(logp - kappa)))) for at, slot, _, key, logp in t.samples])
+        out.append([(next(spelled), logp, key, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(logp - kappa)))) for _, _, _, key, logp in t.samples])
     return out
 
 
@@ -358,15 +416,20 @@ def _samples(path: str, alpha: float, k: int, digest: bool):
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
             seeds, names = batch.column(2).to_numpy().view(U64), batch.column(0).to_pylist()
-            for i, j in slices(off):
-                rows = []
-                for d, got in enumerate(sample_texts(v, raw[off[i] : off[j]], off[i : j + 1] - off[i], seeds[i:j], k)):
-                    own = raw[off[i + d] : off[i + d + 1]].tobytes() if digest else b""
-                    for rank, (ids, logp, key, score) in enumerate(got, 1):
-                        last = (zlib.crc32(ids.astype("<u4").tobytes()), v.decode(ids.tolist()).encode() == own) if digest else (ids.tolist(),)
-                        rows.append((names[i + d], rank, len(ids), logp, key, score, *last))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *((pa.int64(), pa.bool_()) if digest else (pa.list_(pa.int32()),))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=[f"c{c}" for c in range(len(kinds))])
+            for i, j in slices(off, SLICE):
+                got = sample_texts(v, raw[off[i] : off[j]], off[i : j + 1] - off[i], seeds[i:j], k)
+                samples = [(names[i + d], rank, *x) for d, rows in enumerate(got) for rank, x in enumerate(rows, 1)]
+                doc, rank, ids, logp, key, score = zip(*samples)
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                if digest:
+                    own = [raw[off[i + d] : off[i + d + 1]].tobytes() for d, rows in enumerate(got) for _ in rows]
+                    last = [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([v.decode_bytes(x.tolist()) == t for x, t in zip(ids, own)])]
+                else:
+                    last = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))]
+                columns = [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(n), pa.array(logp, pa.float64()), pa.array(key, pa.float64()), pa.array(score, pa.float64()), *last]
+                del got, samples, ids
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{c}" for c in range(len(columns))])
+                release()
 
     return run
 
