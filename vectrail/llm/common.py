@@ -5,6 +5,7 @@ Everything here is bounded by one slice of one Arrow batch; nothing depends on t
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,8 +72,19 @@ def with_schema(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in fields.items())])
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and their executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (from 0) of a string or binary array; a null counts as empty."""
+    """Bytes and offsets (from 0) of a string or binary array; a null counts as empty. Each kernel calls it for each
+    batch, when the batch before is done with."""
+    release()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.type != pa.large_binary():
@@ -119,7 +131,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.up) <= n:
-            size = 1 << int(n).bit_length()
+            size = (int(n) | 0xFFFF) + 1
             up, down = np.full(size, self.base, U64), np.full(size, pow(self.base, -1, 1 << 64), U64)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)

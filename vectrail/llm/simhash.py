@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import as_long, binary_parts, checkpoint, read_table, row_keys, shuffle_parts
+from vectrail.llm.common import as_long, binary_parts, checkpoint, read_table, release, row_keys, shuffle_parts
 from vectrail.llm.components import connected_components
 
 VARIANTS = 1 << 20
@@ -54,8 +54,7 @@ def _fingerprints(size: int, seed: int):
     def run(batches):
         for batch in batches:
             raw, off = binary_parts(batch.column(0))
-            data = raw.tobytes()
-            got = np.array([fingerprint(data[a:b], size, seed) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.uint64)
+            got = np.array([fingerprint(raw[a:b].tobytes(), size, seed) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got.view(np.int64))], names=["k1", "k2", "doc_id", "fp"])
 
     return run
@@ -137,6 +136,7 @@ def _links(lead: int, half: int):
         def done(bucket, blobs):
             fps = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
             pairs = star_edges(fps, bucket, lead, half).view(np.int64)
+            release()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         bucket, blobs = None, []
