@@ -312,6 +312,26 @@ def test_toxicity(spark, nothing):
     assert toxicity.drop_toxic(docs.limit(0), known).count() == 0
 
 
+def test_toxicity_scores_with_every_ngram(spark):
+    """More n-grams than one block of 2**20 holds, and blocks of any size give the same scores."""
+    rng = np.random.default_rng(3)
+    raw = rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), (40, 15_000, 8))
+    rows = [(i, " ".join(bytes(w).decode() for w in x), i % 2) for i, x in enumerate(raw)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 in (0, 3)][: len(rows)]
+    rows = [(i, text, y) for i, (_, text, y) in zip(ids, rows)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    words = [w.encode() for _, text, _ in rows for w in text.split()]
+    want = np.unique(toxicity._grams(words, 4)[0])
+    assert len(want) > 1 << 20
+    model = toxicity.train(docs, known)
+    assert (np.sort(np.concatenate([b.value[1] for b in model.blocks])) == want).all()
+    few = docs.filter(docs.doc_id.isin(ids[:2]))
+    one, many = (toxicity.train(few, known, block_rows=n) for n in (1 << 20, 5000))
+    assert len(one.blocks) == 1 and len(many.blocks) > toxicity.KEPT_BLOCKS
+    assert (one.word_ratios(words[:5000]) == many.word_ratios(words[:5000])).all() and one.word_ratios(words).any()
+
+
 def test_marks_reach_their_documents():
     k1, k2 = np.array([5, 5, 3, 5], np.int64), np.array([-9, -9, 7, 8], np.int64)
     batch = exchange.pack_marks(k1, k2, np.array([4, 1, 2, 0]), np.array([6, 3, 9, 1]), 1)

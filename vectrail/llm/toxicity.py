@@ -7,8 +7,9 @@ for neither. An n-gram seen in no class then has the ratio of the two backoff we
 unseen context has none: the log-likelihood ratio of any text needs two tables only, of seen n-grams and of contexts.
 
 Counts are taken over all labelled training rows, summed in the task that reads them and then grouped by n-gram; they
-grow with the input. The tables that scoring broadcasts keep the `capacity` most frequent n-grams and contexts (default
-2**20 each, 16 bytes a row); what falls out is scored by the shared backoff, as unseen.
+grow with the input, and so do the two tables. Scoring reads both whole, in as many broadcast blocks as they need (about
+`block_rows` n-grams each, default 2**20, 16 bytes a row, and their contexts): the driver holds one block at a time, a
+task KEPT_BLOCKS, or one where there are more.
 
 A text is scored by the ratio of its length-normalised log-likelihoods (per word), by the same over the root of the
 length, the log length and its most toxic word's ratio; a logistic curve fitted on labelled rows that the models have
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import as_long, binary_parts, checkpoint, fresh, read_table, slices, with_schema
+from vectrail.llm.common import SLICE_BYTES, as_long, binary_parts, checkpoint, fresh, read_table, slices, with_schema
 from vectrail.llm.decontaminate import words_of
 
 BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 500_000
+KEPT_BLOCKS = 4
 DISCOUNT = 0.75
 
 
@@ -99,24 +101,47 @@ def _tables(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         lower = lower.select("g", ((F.col("n") - d) / F.col("s") + d * F.col("t") / F.col("s") * F.col("q")).alias("p"))
     here = grams.withColumn("h", F.shiftright("g", 8))
     sums = [x for k in "01" for x in (F.sum(f"c{k}").alias(f"s{k}"), F.count_if(F.col(f"c{k}") > 0).alias(f"t{k}"))]
-    context = here.groupBy("h").agg(*sums, F.sum(F.col("c0") + F.col("c1")).alias("n"))
+    context = here.groupBy("h").agg(*sums)
     lam = lambda k: F.when(F.col(f"s{k}") > 0, d * F.col(f"t{k}") / F.col(f"s{k}")).otherwise(F.lit(1.0))
     back = lower.select(F.col("g").alias("low"), F.col("p").alias("q"))
-    full = here.drop("n").join(context.drop("n"), "h").withColumn("low", F.col("g").bitwiseAND(mask(order - 1))).join(back, "low")
+    full = here.join(context, "h").withColumn("low", F.col("g").bitwiseAND(mask(order - 1))).join(back, "low")
     p = lambda k: F.greatest(F.col(f"c{k}") - d, F.lit(0.0)) / F.greatest(F.col(f"s{k}"), F.lit(1)) + lam(k) * F.col("q")
-    seen = full.select("g", F.log(p(1) / p(0)).alias("ratio"), (F.col("c0") + F.col("c1")).alias("n"))
-    return seen, context.select(F.col("h").alias("g"), F.log(lam(1) / lam(0)).alias("ratio"), "n")
+    seen = full.select("g", F.log(p(1) / p(0)).alias("ratio"))
+    return seen, context.select(F.col("h").alias("g"), F.log(lam(1) / lam(0)).alias("ratio"))
+
+
+PACKED = "block int, grams binary, ratios binary, contexts binary, weights binary"
+
+
+def _pack(batches):
+    """The rows (block, kind, g, ratio) of one block as one row of sorted arrays."""
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if held:
+        block, kind, g, ratio = (np.concatenate(x) for x in zip(*held))
+        row = [pa.array(block[:1])]
+        for k in (0, 1):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(g[at])]
+            row += [pa.array([x[at].tobytes()], pa.binary()) for x in (g, ratio)]
+        yield pa.RecordBatch.from_arrays(row, names=["block", "grams", "ratios", "contexts", "weights"])
+
+
+def _blocks(seen: DataFrame, contexts: DataFrame, n: int) -> list:
+    """Broadcasts of (number, n-grams, ratios, contexts, weights): all rows, dealt by the remainder modulo n."""
+    rows = [t.select(F.pmod("g", F.lit(n)).cast("int").alias("block"), F.lit(k).alias("kind"), "g", "ratio") for k, t in enumerate((seen, contexts))]
+    packed = rows[0].unionByName(rows[1]).repartitionById(n, "block").mapInArrow(_pack, PACKED)
+    kinds = (np.int64, float, np.int64, float)
+    share = seen.sparkSession.sparkContext.broadcast
+    return [share((r[0], *(np.frombuffer(x, t) for x, t in zip(r[1:], kinds)))) for r in packed.toLocalIterator()]
 
 
 @dataclass
 class Model:
-    """What scoring needs; of bounded size."""
+    """What scoring needs: the tables as broadcast blocks, and a curve."""
 
     order: int
-    grams: np.ndarray
-    ratios: np.ndarray
-    contexts: np.ndarray
-    weights: np.ndarray  # of the backoff, by context
+    n_blocks: int
+    blocks: list  # of broadcasts; a block that got no row is left out
     curve: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
@@ -124,11 +149,18 @@ class Model:
 
     def word_ratios(self, words: list[bytes]) -> np.ndarray:
         g, word = _grams(words, self.order)
-        out = np.zeros(len(g))
-        for keys, values, ask in ((self.contexts, self.weights, g >> 8), (self.grams, self.ratios, g)):
-            if len(keys):
-                k = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-                out = np.where(keys[k] == ask, values[k], out)
+        out, seen = np.zeros(len(g)), np.zeros(len(g), bool)
+        for shared in self.blocks:
+            number, grams, ratios, contexts, weights = shared.value
+            if len(self.blocks) > KEPT_BLOCKS and getattr(shared, "_path", None):
+                del shared._value  # read again from its file next time
+            for keys, values, ask, final in ((contexts, weights, g >> 8, False), (grams, ratios, g, True)):
+                if len(keys):
+                    at = np.flatnonzero((ask % self.n_blocks == number) & ~seen)
+                    k = np.minimum(np.searchsorted(keys, ask[at]), len(keys) - 1)
+                    hit = keys[k] == ask[at]
+                    out[at[hit]] = values[k[hit]]
+                    seen[at[hit]] |= final
         return np.bincount(word, weights=out, minlength=len(words))
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -142,7 +174,7 @@ class Model:
 def _features(model, cache: dict[bytes, float], raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Per row: ratio per word, ratio over the root of the length, log(1 + words), the most toxic word's ratio."""
     out = np.zeros((len(off) - 1, 4))
-    for i, j in slices(off):
+    for i, j in slices(off, SLICE_BYTES * min(8, max(1, len(model.blocks)))):
         flat, sizes = [], []
         for k in range(i, j):
             words = words_of(raw[off[k] : off[k + 1]].tobytes())
@@ -165,9 +197,9 @@ def _features(model, cache: dict[bytes, float], raw: np.ndarray, off: np.ndarray
     return out
 
 
-def _featured(text_at: int, shared):
+def _featured(text_at: int, model: Model):
     def run(batches):
-        model, cache = shared.value, {}
+        cache = {}
         for batch in batches:
             f = _features(model, cache, *binary_parts(batch.column(text_at)))
             value = pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), 4).cast(pa.list_(pa.float64()))
@@ -176,9 +208,9 @@ def _featured(text_at: int, shared):
     return run
 
 
-def _scored(text_at: int, shared, name: str):
+def _scored(text_at: int, model: Model, name: str):
     def run(batches):
-        model, cache = shared.value, {}
+        cache = {}
         for batch in batches:
             p = model.probability(_features(model, cache, *binary_parts(batch.column(text_at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
@@ -202,9 +234,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarra
     return w, mean, scale
 
 
-def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = 4, capacity: int = 1 << 20, calibration_rows: int = 50_000) -> Model:
+def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = 4, block_rows: int = 1 << 20, calibration_rows: int = 50_000) -> Model:
     """Both language models from all labelled rows of remainders 0 and 3, and the curve from those of remainder 1."""
-    spark = documents.sparkSession
     known = labels.select(as_long(labels, doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -212,12 +243,10 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     rows = rows.join(F.broadcast(known) if small else known, "id")
     counts = rows.filter(remainder(F.col("id")) != 1).select("text", "y").mapInArrow(_counts(order), "g long, c0 long, c1 long")
     grams = checkpoint(counts.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    seen, contexts = _tables(grams, order)
-    most = lambda t: t.orderBy(F.desc("n"), "g").limit(capacity).select("g", "ratio").toPandas().sort_values("g")
-    a, b = most(seen), most(contexts)
-    model = Model(order, a.g.to_numpy(np.int64), a.ratio.to_numpy(float), b.g.to_numpy(np.int64), b.ratio.to_numpy(float))
+    n_blocks = -(-grams.count() // block_rows) | 1  # odd: a remainder then depends on all bytes
+    model = Model(order, n_blocks, _blocks(*_tables(grams, order), n_blocks))
     held = rows.filter(remainder(F.col("id")) == 1).select("text", "y", "id")
-    held = held.mapInArrow(_featured(0, spark.sparkContext.broadcast(model)), with_schema(held, features=T.ArrayType(T.DoubleType())))
+    held = held.mapInArrow(_featured(0, model), with_schema(held, features=T.ArrayType(T.DoubleType())))
     sample = held.orderBy(F.xxhash64("id"), "id").limit(calibration_rows).select("features", "y").toPandas()
     y = sample.y.to_numpy(float)
     classes = grams.agg(F.sum("c0"), F.sum("c1")).first()
@@ -231,8 +260,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
 def score(documents: DataFrame, model: Model, *, text: str = "text") -> tuple[DataFrame, str]:
     """Every row and column of `documents` with its score, and the score column's name."""
     name = fresh(documents, "score")
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.mapInArrow(_scored(documents.columns.index(text), shared, name), with_schema(documents, **{name: T.DoubleType()})), name
+    return documents.mapInArrow(_scored(documents.columns.index(text), model, name), with_schema(documents, **{name: T.DoubleType()})), name
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text: str = "text", **options) -> DataFrame:
