@@ -338,3 +338,12 @@ def test_marks_reach_their_documents():
     marks = exchange.Marks([tuple(r[p] for p in exchange.PARTS) for r in batch.to_pylist()])
     assert [x.tolist() for x in marks.of(5, -9)] == [[1, 4], [3, 6]]
     assert [x.tolist() for x in marks.of(3, 7)] == [[2], [9]] and len(marks.of(1, 1)[0]) == 0
+
+
+def test_marks_tell_rows_apart_by_all_bits_of_their_key():
+    none = -(1 << 63)
+    k1, k2 = np.array([none] * 3, np.int64), np.array([7, 7 + (1 << 32), 7 - (1 << 63)], np.int64)
+    batch = exchange.pack_marks(k1, k2, np.array([1, 2, 3]), np.array([4, 5, 6]), 1)
+    marks = exchange.Marks([tuple(r[p] for p in exchange.PARTS) for r in batch.to_pylist()])
+    assert [marks.of(none, int(x))[0].tolist() for x in k2] == [[1], [2], [3]]
+    assert len(marks.of(none, 7 + (1 << 33))[0]) == 0

@@ -26,19 +26,18 @@ def bucket_of(k2: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack_marks(k1: np.ndarray, k2: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Blocks of (document key, a, b) by bucket; k2 travels as its low 32 bits."""
-    low = k2.view(np.uint64).astype(np.uint32)
+    """Blocks of (document key, a, b) by bucket. The whole k2 travels: rows without an id share their k1."""
     to = bucket_of(k2, buckets)
-    order = np.lexsort((a, low, k1, to))
-    to, k1, low, a, b = to[order], k1[order], low[order], a[order], b[order]
-    new = np.concatenate([[True], (to[1:] != to[:-1]) | (k1[1:] != k1[:-1]) | (low[1:] != low[:-1])]) if len(to) else np.zeros(0, bool)
+    order = np.lexsort((a, k2, k1, to))
+    to, k1, k2, a, b = to[order], k1[order], k2[order], a[order], b[order]
+    new = np.concatenate([[True], (to[1:] != to[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]) if len(to) else np.zeros(0, bool)
     docs = np.flatnonzero(new)
     sizes = np.diff(np.concatenate([docs, [len(to)]])).astype(np.uint32)
     first = np.flatnonzero(np.concatenate([[True], to[docs][1:] != to[docs][:-1]])) if len(docs) else np.zeros(0, np.int64)
     rows: dict[str, list] = {x: [] for x in PARTS}
     for i, j in zip(first, np.concatenate([first[1:], [len(docs)]]).astype(int)):
         lo, hi = docs[i], docs[j] if j < len(docs) else len(to)
-        for name, part in (("k1", k1[docs[i:j]]), ("k2", low[docs[i:j]]), ("n", sizes[i:j]), ("a", a[lo:hi].astype(np.uint32)), ("b", b[lo:hi].astype(np.uint32))):
+        for name, part in (("k1", k1[docs[i:j]]), ("k2", k2[docs[i:j]]), ("n", sizes[i:j]), ("a", a[lo:hi].astype(np.uint32)), ("b", b[lo:hi].astype(np.uint32))):
             rows[name].append(part.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(to[docs[first]].astype(np.int32)), *(pa.array(rows[x], pa.binary()) for x in PARTS)], names=["bucket", *PARTS])
 
@@ -47,17 +46,17 @@ class Marks:
     """The marks of one bucket, by document."""
 
     def __init__(self, blocks: list[tuple]):
-        kinds = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
-        k1, low, n, a, b = (np.concatenate([np.frombuffer(x[i], kind) for x in blocks] or [np.zeros(0, kind)]) for i, kind in enumerate(kinds))
-        k1, low = np.repeat(k1, n), np.repeat(low, n)
-        order = np.lexsort((a, low, k1))
-        k1, low, self.a, self.b = k1[order], low[order], a[order].astype(np.int64), b[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (low[1:] != low[:-1])])) if len(k1) else np.zeros(0, np.int64)
+        kinds = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
+        k1, k2, n, a, b = (np.concatenate([np.frombuffer(x[i], kind) for x in blocks] or [np.zeros(0, kind)]) for i, kind in enumerate(kinds))
+        k1, k2 = np.repeat(k1, n), np.repeat(k2, n)
+        order = np.lexsort((a, k2, k1))
+        k1, k2, self.a, self.b = k1[order], k2[order], a[order].astype(np.int64), b[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])) if len(k1) else np.zeros(0, np.int64)
         last = np.concatenate([first[1:], [len(k1)]]).astype(np.int64)
-        self.at = dict(zip(zip(k1[first].tolist(), low[first].tolist()), zip(first.tolist(), last.tolist())))
+        self.at = dict(zip(zip(k1[first].tolist(), k2[first].tolist()), zip(first.tolist(), last.tolist())))
 
     def of(self, k1: int, k2: int) -> tuple[np.ndarray, np.ndarray]:
-        i, j = self.at.get((k1, k2 & 0xFFFFFFFF), (0, 0))
+        i, j = self.at.get((k1, k2), (0, 0))
         return self.a[i:j], self.b[i:j]
 
 
