@@ -332,6 +332,19 @@ def test_toxicity_scores_with_every_ngram(spark):
     assert (one.word_ratios(words[:5000]) == many.word_ratios(words[:5000])).all() and one.word_ratios(words).any()
 
 
+def test_toxicity_counts_all_labelled_training_rows(spark):
+    """Remainder 1 too, both what calibrates and what is past calibration_rows; remainder 2 never."""
+    rows = [(i, f"common words{i % 7} own{i}x", int(i % 3 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[1][:2]], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    words = [w.encode() for i, text, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 for w in text.split()]
+    want = np.unique(toxicity._grams(words, 4)[0])
+    for most in (50_000, 20):
+        model = toxicity.train(docs, known, calibration_rows=most)
+        assert model.curve is not None
+        assert (np.sort(np.concatenate([b.value[1] for b in model.blocks])) == want).all()
+
+
 def test_marks_reach_their_documents():
     k1, k2 = np.array([5, 5, 3, 5], np.int64), np.array([-9, -9, 7, 8], np.int64)
     batch = exchange.pack_marks(k1, k2, np.array([4, 1, 2, 0]), np.array([6, 3, 9, 1]), 1)

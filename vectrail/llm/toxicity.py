@@ -12,11 +12,12 @@ grow with the input, and so do the two tables. Scoring reads both whole, in as m
 task KEPT_BLOCKS, or one where there are more.
 
 A text is scored by the ratio of its length-normalised log-likelihoods (per word), by the same over the root of the
-length, the log length and its most toxic word's ratio; a logistic curve fitted on labelled rows that the models have
-not counted (at most `calibration_rows`, default 50,000, least hashes first) makes that a probability. Only the text
-is read for a score.
+length, the log length and its most toxic word's ratio; a logistic curve makes that a probability. It is fitted on a
+sample of the labelled rows of remainder 1 (at most `calibration_rows`, default 50,000, least hashes of their ids first,
+an id with all its rows or none) with models that have counted all other rows; then the sample is counted too, and the
+models of all labelled training rows score. Only the text is read for a score.
 
-Rows whose crc32(doc_id as text) leaves 2 modulo 4 are never learned from: remainders 0 and 3 are counted, 1 calibrates.
+Rows whose crc32(doc_id as text) leaves 2 modulo 4 are never learned from: remainders 0, 1 and 3 are counted.
 
 Defined cases: a null or empty text, or one without words, scores the share of toxic calibration rows; without
 training rows of both classes every score is that share (0 without any); a null doc_id has no label; of repeated
@@ -234,22 +235,42 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarra
     return w, mean, scale
 
 
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    """(id) of remainder 1, least hashes first, while all their rows are at most `most`; what does not fit is skipped."""
+    ids = rows.filter(remainder(F.col("id")) == 1).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
+    found, total = [], 0
+    for i, n in ids.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "n").collect():
+        if total + n <= most:
+            found.append((i,))
+            total += n
+    return rows.sparkSession.createDataFrame(found, "id long")
+
+
+def _model(grams: DataFrame, order: int, block_rows: int) -> Model:
+    n_blocks = -(-grams.count() // block_rows) | 1  # odd: a remainder then depends on all bytes
+    return Model(order, n_blocks, _blocks(*_tables(grams, order), n_blocks))
+
+
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = 4, block_rows: int = 1 << 20, calibration_rows: int = 50_000) -> Model:
-    """Both language models from all labelled rows of remainders 0 and 3, and the curve from those of remainder 1."""
+    """Both language models from all labelled rows of remainders 0, 1 and 3, and the curve from a sample of remainder 1."""
     known = labels.select(as_long(labels, doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = documents.select(as_long(documents, doc_id).alias("id"), F.col(text).alias("text")).filter(remainder(F.col("id")) != 2)
     rows = rows.join(F.broadcast(known) if small else known, "id")
-    counts = rows.filter(remainder(F.col("id")) != 1).select("text", "y").mapInArrow(_counts(order), "g long, c0 long, c1 long")
-    grams = checkpoint(counts.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    n_blocks = -(-grams.count() // block_rows) | 1  # odd: a remainder then depends on all bytes
-    model = Model(order, n_blocks, _blocks(*_tables(grams, order), n_blocks))
-    held = rows.filter(remainder(F.col("id")) == 1).select("text", "y", "id")
-    held = held.mapInArrow(_featured(0, model), with_schema(held, features=T.ArrayType(T.DoubleType())))
-    sample = held.orderBy(F.xxhash64("id"), "id").limit(calibration_rows).select("features", "y").toPandas()
-    y = sample.y.to_numpy(float)
+    held = _sampled(rows, calibration_rows)
+    count = lambda t: t.select("text", "y").mapInArrow(_counts(order), "g long, c0 long, c1 long")
+    whole = lambda t: checkpoint(t.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    grams = whole(count(rows.join(F.broadcast(held), "id", "left_anti")))
     classes = grams.agg(F.sum("c0"), F.sum("c1")).first()
+    model = _model(grams, order, block_rows)
+    asked = rows.join(F.broadcast(held), "id", "left_semi").select("text", "y")
+    sample = asked.mapInArrow(_featured(0, model), with_schema(asked, features=T.ArrayType(T.DoubleType()))).select("features", "y").toPandas()
+    for block in model.blocks:
+        block.destroy()
+    grams = whole(grams.unionByName(count(asked)))
+    model = _model(grams, order, block_rows)
+    y = sample.y.to_numpy(float)
     model.share = float(y.mean()) if len(y) else 0.0
     if 0 < model.share < 1 and all(classes):
         x = np.array(sample.features.tolist(), float)
