@@ -31,3 +31,9 @@ def test_query_equals_its_sql(spark, sf_dir, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hnsw_filtered", "hnsw_knn", "ivfpq_trained"])
+def test_searches_without_sql_ask_every_twentieth_row(spark, sf_dir, name):
+    every = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
+    assert {r["q_id"] for r in catalogue.queries()[name](spark, sf_dir).collect()} == every and len(every) > 20
