@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import U64, Rolling, as_long, binary_parts, mix, read_table, release, slices
+from vectrail.llm.common import U64, as_long, binary_parts, mix, read_table, release, slices
+from vectrail.llm.words import Column, Words, ranges
 
 MARK = "▁"
 LITERAL = 0x110000  # a U+2581 of the text itself
 BYTE = -12.0
 SLOTS = 19
-_code = Rolling(11)
+#: Slots of word lattices that a worker keeps, 33 bytes each, besides those of the slice at hand.
+LATTICE_SLOTS = 3_000_000
 _state: dict = {}
 
 
@@ -79,6 +81,7 @@ class Vocabulary:
         joined = {ord(c) for _, p in pieces if len(p) > 1 for c in p}
         self.alone = np.ones(LITERAL + 1, bool)
         self.alone[list(joined)] = False
+        self.lattice = Lattice(self)
         self.spelled = [b""] * model.vocab_size()
         for i, p in pieces:
             self.spelled[i] = p.replace(MARK, " ").encode()
@@ -115,16 +118,50 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return _state[path, alpha]
 
 
-class Lattice:
-    """Lattices of some words (their code points in a row). Each place has its pieces in slots: their lengths, ids,
-    conditional probabilities (summed up, and of all others together) and log-probabilities."""
+def spans_of(chars: np.ndarray) -> np.ndarray:
+    """Bytes of some characters in UTF-8."""
+    chars = np.where(chars == LITERAL, ord(MARK), chars)
+    return 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+
 
-    def __init__(self, v: Vocabulary, chars: np.ndarray, sizes: np.ndarray):
-        n = len(chars)
-        self.ends = np.repeat(np.cumsum(sizes), sizes)
-        room = self.ends - np.arange(n)
+class Lattice:
+    """Lattices of the words met so far, place after place (their code points in a row). A place has its pieces in slots
+    that follow each other, the longest first, as it mostly is the likeliest and a draw seldom looks further: their
+    lengths, ids, log-probabilities given the place, probabilities summed up, and the log of all others' together.
+
+    Words stay from slice to slice; past `LATTICE_SLOTS` those that came once go."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.words = v, Words()
+        self.first, self.last = Column(np.int32), Column(np.int8)
+        self.size, self.ids = Column(np.int8), Column(np.int32)  # a negative size: the piece ends the word
+        self.log, self.cum, self.rest = Column(float), Column(float), Column(float)
+
+    def places(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The first place of each word."""
+        if len(self.ids) > LATTICE_SLOTS:
+            self._shrink()
+        number, new = self.words.numbers(chars, starts, sizes)
+        if len(new):
+            self._add(chars[ranges(starts[new], sizes[new])], sizes[new])
+        return self.words.ends.all[number]
+
+    def _shrink(self) -> None:
+        old, total = self.words.ends.all.copy(), len(self.words)
+        kept = self.words.shrink(max(1, total // 3))
+        place = ranges(old[kept], old[kept + 1] - old[kept])
+        per = self.last.all[place].astype(np.int64) + 1
+        slot = ranges(self.first.all[place], per)
+        for c in (self.size, self.ids, self.log, self.cum, self.rest):
+            c.keep(slot)
+        self.first.held, self.first.size = (np.cumsum(per) - per).astype(np.int32), len(place)
+        self.last.keep(place)
+
+    def _add(self, chars: np.ndarray, sizes: np.ndarray) -> None:
+        v, n, slots = self.v, len(chars), len(self.ids)
+        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
         found, live, h = [], np.arange(n), np.zeros(n, U64)
-        per = np.zeros(n, np.int8)
+        per = np.zeros(n, np.int64)
         for k in range(v.longest):
             inside = room[live] > k
             live, h = live[inside], h[inside]
@@ -140,69 +177,78 @@ class Lattice:
             per[place] += 1
             if not k:
                 single = per > 0
-        lone = np.flatnonzero(~single) if n else np.zeros(0, np.int64)
-        spelled = np.where(chars[lone] == LITERAL, ord(MARK), chars[lone])
-        spans = 1 + (spelled > 0x7F) + (spelled > 0x7FF) + (spelled > 0xFFFF)
-        found.insert(0, (lone, 1, -1, BYTE * spans))
+        lone = np.flatnonzero(~single)
+        found.insert(0, (lone, 1, -1, BYTE * spans_of(chars[lone])))
         per[lone] += 1
-        self.row = np.full(n, -1, np.int32)
-        self.row[lone] = np.arange(len(lone))
-        self.spans, self.byte_ids = spans.astype(np.int64), np.zeros((len(lone), 4), np.int32)
-        for c in np.unique(spelled).tolist():
-            parts = [v.bytes[b] for b in chr(c).encode()]
-            self.byte_ids[spelled == c, : len(parts)] = parts
-        # slots stand by rows, the longest piece first: it mostly is the likeliest, and a draw seldom looks further
-        width = int(per.max(initial=1))
-        self.size, self.ids = np.ones((width, n), np.int8), np.full((width, n), -1, np.int32)
-        self.log, self.cum = np.full((width, n), -np.inf), np.ones((width, n))
-        left = per.copy()
-        for place, size, ids, weight in found:
-            left[place] -= 1
-            slot = left[place]
-            self.size[slot, place], self.ids[slot, place], self.log[slot, place] = size, ids, weight
-        self.last = per - 1
-        back = np.zeros(n + v.longest + 1)
+        # slots stand by the room their places have, so that those worked on together are neighbours
         key = room * 32 + (31 - per)
-        most = int(room.max(initial=0))
+        most = int(room.max())
         order = np.argsort(key.astype(np.uint16) if most < 2000 else key, kind="stable")
+        begin = np.cumsum(per[order]) - per[order]
+        first = np.empty(n, np.int64)
+        first[order] = begin
+        total = int(per.sum())
+        size, ids, target, weight = np.empty(total, np.int8), np.empty(total, np.int32), np.empty(total, np.int64), np.empty(total)
+        left = per.copy()
+        for place, length, own, w in found:
+            left[place] -= 1
+            slot = first[place] + left[place]
+            end = room[place] == length
+            size[slot], ids[slot], weight[slot] = np.where(end, -length, length), own, w
+            target[slot] = np.where(end, n, place + length)
+        back, log, p = np.zeros(n + 1), np.empty(total), np.empty(total)
         edge = np.searchsorted(room[order], np.arange(1, most + 2))
-        for r in range(len(edge) - 1):
-            at = order[edge[r] : edge[r + 1]]
-            if not len(at):
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if lo == hi:
                 continue
-            has = np.searchsorted(-per[at].astype(np.int64), -np.arange(int(per[at[0]])), side="left")
-            rows = []
-            for s, c in enumerate(has.tolist()):
-                a = at[:c]
-                size = self.size[s, a]
-                rows.append(self.log[s, a] + np.where(size == r + 1, 0.0, back[a + size]))
-            top = rows[0].copy()
-            for y in rows[1:]:
-                np.maximum(top[: len(y)], y, out=top[: len(y)])
-            sums, parts = np.zeros(len(at)), []
-            for y in rows:
-                sums[: len(y)] += np.exp(y - top[: len(y)])
-                parts.append(sums[: len(y)].copy())
-            total = top + np.log(sums)
-            back[at] = total
-            for s, (y, c) in enumerate(zip(rows, parts)):
-                a = at[: len(y)]
-                y -= total[: len(y)]
-                self.log[s, a], self.cum[s, a] = y, c / sums[: len(y)]
+            at = order[lo:hi]
+            a, b = int(begin[lo]), int(begin[hi]) if hi < n else total
+            seg, many = begin[lo:hi] - a, per[at]
+            y = weight[a:b] + back[target[a:b]]
+            top = np.maximum.reduceat(y, seg)
+            y -= np.repeat(top, many)
+            e = np.exp(y)
+            sums = np.add.reduceat(e, seg)
+            back[at] = top + np.log(sums)
+            log[a:b], p[a:b] = y - np.repeat(np.log(sums), many), e / np.repeat(sums, many)
+        before, after = np.zeros(total), np.zeros(total)
+        by = np.argsort(-per, kind="stable")
+        seg = first[by]
+        has = np.searchsorted(-per[by], -np.arange(int(per.max()) + 1), side="left").tolist()  # how many have a slot s
+        for s in range(1, len(has)):
+            at = seg[: has[s]] + s
+            before[at] = before[at - 1] + p[at - 1]
+        for s in range(len(has) - 2, -1, -1):
+            at = seg[: has[s + 1]] + s
+            after[at] = after[at + 1] + p[at + 1]
+        with np.errstate(divide="ignore"):
+            rest = np.log(before + after)
+        for column, part in ((self.first, first + slots), (self.last, per - 1), (self.size, size), (self.ids, ids), (self.log, log), (self.cum, before + p), (self.rest, rest)):
+            column.add(part)
+
+    def padded(self, at: np.ndarray) -> np.ndarray:
+        """Probabilities of all slots of some places, by rows; 0 where there is none."""
+        last = self.last.all[at].astype(np.int64)
+        row = np.arange(int(last.max(initial=0)) + 1)[:, None]
+        return np.where(row <= last, np.exp(self.log.all[self.first.all[at] + np.minimum(row, last)]), 0.0)
 
     def spell(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and their numbers: characters in bytes become their byte pieces."""
-        ids, lens = self.ids[slot, at], np.ones(len(at), np.int64)
+        ids, lens = self.ids.all[self.first.all[at] + slot], np.ones(len(at), np.int64)
         lone = np.flatnonzero(ids < 0)
         if not len(lone):
             return ids, lens
-        row = self.row[at[lone]]
-        lens[lone] = self.spans[row]
+        kinds, which = np.unique(self.words.chars.all[at[lone]], return_inverse=True)
+        lens[lone] = spans_of(kinds)[which]
         out = np.repeat(ids, lens)
         first = (np.cumsum(lens) - lens)[lone]
+        table = np.zeros((len(kinds), 4), np.int32)
+        for i, c in enumerate(kinds.tolist()):
+            parts = [self.v.bytes[b] for b in (MARK if c == LITERAL else chr(c)).encode()]
+            table[i, : len(parts)] = parts
         for k in range(4):
-            has = self.spans[row] > k
-            out[first[has] + k] = self.byte_ids[row[has], k]
+            has = lens[lone] > k
+            out[first[has] + k] = table[which[has], k]
         return out, lens
 
 
@@ -210,29 +256,29 @@ def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray,
     """Draw pieces from word places `at` to the words' ends: (which, place, slot), in order of which.
 
     barred: bit masks of the slots that the first piece of each may not have."""
-    which, live, where, n = [], np.arange(len(at)), at.copy(), number.astype(U64) * U64(1 << 20)
+    which, live, pos, number = [], np.arange(len(at)), at, number.astype(U64) * U64(1 << 20)
+    first, last, cum, size = (c.all for c in (lat.first, lat.last, lat.cum, lat.size))
     got_at, got_slot, step = [], [], 0
     while len(live):
-        pos = where[live]
-        u = unit(seed[live], n[live] + U64(step))
-        pick, open_, row = np.zeros(len(pos), np.int64), np.arange(len(pos)), 0
-        while True:
-            open_ = open_[u[open_] >= lat.cum[row, pos[open_]]]
-            open_ = open_[lat.last[pos[open_]] > row]
-            if not len(open_):
-                break
+        u = unit(seed, number + U64(step))
+        own = first[pos]
+        pick = np.zeros(len(pos), np.int64)
+        open_, row = np.flatnonzero(u >= cum[own]), 0
+        while len(open_ := open_[last[pos[open_]] > row]):
             row += 1
             pick[open_] = row
+            open_ = open_[u[open_] >= cum[own[open_] + row]]
         if step == 0 and len(some := np.flatnonzero(barred)):
-            p = np.where((barred[some] >> np.arange(len(lat.log))[:, None]) & 1 == 1, 0.0, np.exp(lat.log[:, pos[some]]))
-            cum = np.cumsum(p, axis=0)
-            pick[some] = np.minimum((u[some] * cum[-1] >= cum).sum(axis=0), len(p) - 1 - np.argmax((p > 0)[::-1], axis=0))
+            p = lat.padded(pos[some])
+            p[(barred[some] >> np.arange(len(p))[:, None]) & 1 == 1] = 0.0
+            sums = np.cumsum(p, axis=0)
+            pick[some] = np.minimum((u[some] * sums[-1] >= sums).sum(axis=0), len(p) - 1 - np.argmax((p > 0)[::-1], axis=0))
         which.append(live)
         got_at.append(pos)
         got_slot.append(pick)
-        pos = pos + lat.size[pick, pos]
-        where[live] = pos
-        live = live[pos < lat.ends[got_at[-1]]]
+        length = size[own + pick]
+        on = np.flatnonzero(length > 0)
+        live, pos, seed, number = live[on], pos[on] + length[on], seed[on], number[on]
         step += 1
     which = np.concatenate(which) if which else np.zeros(0, np.int64)
     order = np.argsort(which, kind="stable")
@@ -267,7 +313,8 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
     Each task is (text, key, kept, barred, before); its sample's new pieces are got and slot between its edges. Sets
     split off further along have less mass; where even the largest draw could not lift one among the best k, the rest
     cannot matter and is not drawn."""
-    logs = lat.log[slot, got]
+    own_slot = lat.first.all[got] + slot
+    logs, others = lat.log.all[own_slot], lat.rest.all[own_slot]
     tasks = [(i, *t) for i, t in enumerate(tasks)]
     for _, t, _, _, _, before in tasks:
         t.total = before
@@ -290,33 +337,36 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
         before[live] = prefix[:, -1]
         u = unit(seed[live, None], (U64(1 << 40) * (number[live] + U64(1)))[:, None] + (start + np.arange(CHUNK)).astype(U64)[None, :])
         noise = np.log(-np.log(u))
-        # a key grows with its set's mass, which the prefix bounds
-        bound = np.where(valid, prefix[:, :-1] - np.logaddexp(prefix[:, :-1] - key[live, None], noise), -np.inf)
+        # a set's key is -log(exp(-key) + exp(noise - mass)): it grows with mass - noise, and the prefix bounds the mass
+        bound = np.where(valid, prefix[:, :-1] - noise, -np.inf)
         rows, take = np.arange(len(live)), min(CHUNK, 8 * k)
         while len(rows):
             some = np.argpartition(-bound[rows], take - 1, axis=1)[:, :take]
             at = idx[rows[:, None], some]
-            own, pick = got[at], slot[at]
-            rest = np.exp(lat.log[:, own])
-            np.put_along_axis(rest, pick[None], 0.0, axis=0)
-            if start == 0:
-                head = (some == 0)[None] & ((bars[live[rows]] >> np.arange(len(rest))[:, None]) & 1 == 1)[:, :, None]
-                rest[head] = 0.0
-            left = np.cumsum(rest, axis=0)[-1]
-            with np.errstate(divide="ignore"):
-                mass = prefix[rows[:, None], some] + np.log(left)
-            keys = mass - np.logaddexp(mass - key[live[rows], None], noise[rows[:, None], some])
-            keys[(left <= 0) | ~valid[rows[:, None], some]] = -np.inf
-            worst = np.sort(keys, axis=1)[:, -k] if take >= k else np.full(len(rows), -np.inf)
+            pick, left = slot[at], others[at]
+            if start == 0 and len(head := np.nonzero((some == 0) & (bars[live[rows]] != 0)[:, None])[0]):
+                col = np.argmax(some[head] == 0, axis=1)
+                p = lat.padded(got[at[head, col]])
+                p[pick[head, col], np.arange(len(head))] = 0.0
+                p[(bars[live[rows[head]]] >> np.arange(len(p))[:, None]) & 1 == 1] = 0.0
+                with np.errstate(divide="ignore"):
+                    left[head, col] = np.log(np.cumsum(p, axis=0)[-1])
+            before_it, own_noise = prefix[rows[:, None], some], noise[rows[:, None], some]
+            mass = before_it + left
+            value = np.where(valid[rows[:, None], some], mass - own_noise, -np.inf)
+            order = np.argsort(-value, axis=1, kind="stable")[:, :k]
+            worst = np.take_along_axis(value, order[:, -1:], axis=1)[:, 0] if take >= k else np.full(len(rows), -np.inf)
             # those where a set that wasn't drawn could still be among the best are drawn in full
             done = (take == CHUNK) | ((bound[rows] > worst[:, None]).sum(axis=1) <= (bound[rows[:, None], some] > worst[:, None]).sum(axis=1))
-            for r in np.flatnonzero(done).tolist():
-                d = int(live[rows[r]])
+            r = np.flatnonzero(done)[:, None]
+            x = order[done]
+            keys = mass[r, x] - np.logaddexp(mass[r, x] - key[live[rows[r]]], own_noise[r, x])
+            keys[value[r, x] == -np.inf] = -np.inf
+            for d, *found in zip(live[rows[done]].tolist(), keys.tolist(), some[r, x].tolist(), pick[r, x].tolist(), before_it[r, x].tolist()):
                 mine = best[d]
-                for x in np.argsort(-keys[r], kind="stable")[:k].tolist():
-                    if keys[r, x] > -np.inf:
-                        j = int(some[r, x])
-                        mine.append((float(keys[r, x]), kept[d] + start + j, (1 << int(pick[r, x])) | (barred[d] if start + j == 0 else 0), float(prefix[rows[r], j])))
+                for value_, j, p_, mass_ in zip(*found):
+                    if value_ > -np.inf:
+                        mine.append((value_, kept[d] + start + j, (1 << p_) | (barred[d] if start + j == 0 else 0), mass_))
                 mine.sort(key=lambda b: -b[0])
                 del mine[k:]
             rows, take = rows[~done], min(CHUNK, 3 * take)
@@ -346,17 +396,8 @@ def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndar
         cut[0] = True
     starts = np.flatnonzero(cut[:-1])
     sizes = np.diff(np.append(starts, len(chars)))
-    prefix = _code.of_values(mix(chars.astype(U64) + U64(1)))
-    h = _code.ranges(prefix, starts, starts + sizes)
-    _, rep, kind = np.unique(h, return_index=True, return_inverse=True)
-    span = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    same = np.repeat(starts[rep][kind] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    if (sizes != sizes[rep][kind]).any() or (chars[np.minimum(same, len(chars) - 1)] != chars[span]).any():  # two words of one hash
-        rep = kind = np.arange(len(starts))
-    rs, rn = starts[rep], sizes[rep]
-    base = np.cumsum(rn) - rn
-    lat = Lattice(v, chars[np.repeat(rs - base, rn) + np.arange(rn.sum())], rn)
-    place = base[kind]
+    lat = v.lattice
+    place = lat.places(chars, starts, sizes) if len(starts) else starts
     by_doc = np.searchsorted(starts, off2)
     ties = count(1)
     texts = [_Text(place[by_doc[d] : by_doc[d + 1]], int(seeds[d])) for d in range(len(off) - 1)]
