@@ -137,13 +137,14 @@ class Lattice:
         self.size, self.ids = Column(np.int8), Column(np.int32)  # a negative size: the piece ends the word
         self.log, self.cum, self.rest = Column(float), Column(float), Column(float)
 
-    def places(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The first place of each word."""
+    def places(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The first place of each of the words that fill a slice."""
         if len(self.ids) > LATTICE_SLOTS:
             self._shrink()
-        number, new = self.words.numbers(chars, starts, sizes)
+        number, new = self.words.numbers(chars, starts)
         if len(new):
-            self._add(chars[ranges(starts[new], sizes[new])], sizes[new])
+            sizes = np.diff(np.append(starts, len(chars)))[new]
+            self._add(chars[ranges(starts[new], sizes)], sizes)
         return self.words.ends.all[number]
 
     def _shrink(self) -> None:
@@ -395,9 +396,8 @@ def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndar
     if len(chars):
         cut[0] = True
     starts = np.flatnonzero(cut[:-1])
-    sizes = np.diff(np.append(starts, len(chars)))
     lat = v.lattice
-    place = lat.places(chars, starts, sizes) if len(starts) else starts
+    place = lat.places(chars, starts) if len(starts) else starts
     by_doc = np.searchsorted(starts, off2)
     ties = count(1)
     texts = [_Text(place[by_doc[d] : by_doc[d + 1]], int(seeds[d])) for d in range(len(off) - 1)]

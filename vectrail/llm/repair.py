@@ -2,18 +2,19 @@
 
 Documents go by range of (doc_id, text key) to sorted partitions; each task encodes whole texts, appends id 0, and
 writes blocks of about `BLOCK` ids. A block holds a straight-line grammar: the most frequent pairs of neighbouring
-symbols become nonterminals, several pairs a round (occurrences that overlap are taken from the left), no pair crosses
-the end of a document. It stores the rules, every rule's expansion length, the symbols, and the symbols and ids of each
-document, so any document, or any range of ids, is decoded from its own symbols alone.
+symbols become nonterminals, `PAIRS` a round (occurrences that overlap are taken from the left), no pair crosses the end
+of a document, and rounds go on until no pair occurs twice or the 15,279 numbers that 16 bits leave for rules are used
+up. It stores the rules, every rule's expansion length, the symbols, and the symbols and ids of each document. A
+document, or any range of ids, is decoded from its own symbols: their frames are unpacked and the rules they name expanded.
 
-Block layout, little-endian: magic "RPG1", uint32 x 4 (documents, rules, symbols, ids), then rules as pairs of uint16,
-expansion lengths uint32, symbols uint16, symbols by document uint32, ids by document uint32; the part after the
-magic is zstd-compressed. Symbols under `TERMINALS` are ids, others rules. Blocks are kept as binary cells of a Parquet
-table in the shared folder, which gives atomic task commits on any store that Spark writes to.
+Block layout, little-endian: magic "RPG2", uint32 x 4 (documents, rules, symbols, ids), uint32 lengths of the parts, then
+the parts, each zstd-compressed: rules as pairs of uint16 with their expansion lengths uint32; symbols and ids by document
+uint32; symbols uint16 in frames of `FRAME`. Symbols under `TERMINALS` are ids, others rules. Blocks are kept as binary
+cells of a Parquet table in the shared folder, which gives atomic task commits on any store that Spark writes to.
 
-Words are encoded by the tokenizers library, each distinct pre-token once per worker while its cache (bounded) holds
-it: byte-level BPE never merges across pre-tokens. Texts with an apostrophe are cut by the pattern itself, and texts
-with a special token's string are encoded whole.
+Texts are cut into pre-tokens in arrays; the tokenizers library's model merges each distinct one once per worker while
+its cache (bounded) holds it: byte-level BPE never merges across pre-tokens. Texts with a special token's string are
+encoded whole by the library's tokenizer.
 
 Defined cases: a null or empty text is id 0 alone; null doc_ids come first; repeated doc_ids follow in order of a hash
 of their texts; an empty table gives an empty result.
@@ -25,7 +26,7 @@ import os
 import sys
 import unicodedata
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,42 +35,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import U64, Rolling, as_long, binary_parts, mix, read_table, row_keys, shared_table_path, shuffle_parts, slices
+from vectrail.llm.common import as_long, binary_parts, read_table, row_keys, shared_table_path, shuffle_parts, slices
+from vectrail.llm.words import Column, Words, ranges
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 TERMINALS = 50_257
 RULES = 65_536 - TERMINALS
 BLOCK = 1 << 19
-ROUNDS = 6
-PAIRS = 2_400
-CACHE = 500_000
+FRAME = 1 << 15
+PAIRS = 3_900
+CACHE = 400_000
 END = 0
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_code = Rolling(12)
 _state: dict = {}
 
 
-def _classes() -> np.ndarray:
-    """The class of every code point in the pre-token pattern."""
+def _classes(chars: np.ndarray) -> np.ndarray:
+    """The class of each character in the pre-token pattern."""
     if "classes" not in _state:
-        kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-        for c in range(sys.maxunicode + 1):
-            k = unicodedata.category(chr(c))[0]
-            if k == "L":
-                kinds[c] = LETTER
-            elif k == "N":
-                kinds[c] = NUMBER
-        kinds[WHITE] = SPACE
-        _state["classes"] = kinds
-    return _state["classes"]
+        _state["classes"] = np.zeros(sys.maxunicode + 1, np.uint8)
+        _state["classes"][WHITE] = SPACE
+    kinds = _state["classes"]
+    out = kinds[chars]
+    if not out.all():
+        for c in np.unique(chars[out == 0]).tolist():
+            kinds[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+        out = kinds[chars]
+    return out
 
 
 def pretoken_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
-    """Starts of the pre-tokens in code points of texts without apostrophes."""
+    """Starts of the pre-tokens in code points."""
     if not len(chars):
         return np.zeros(0, np.int64)
-    kind = _classes()[chars]
+    kind = _classes(chars)
     fresh = np.zeros(len(chars) + 1, bool)
     fresh[doc_starts] = True
     start = np.concatenate([[True], kind[1:] != kind[:-1]]) | fresh[:-1]
@@ -77,140 +77,132 @@ def pretoken_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     before = np.flatnonzero(start[1:] & ~fresh[1:-1] & (kind[:-1] == SPACE))
     start[before] = True
     start[before[chars[before] == 32] + 1] = False
+    # an apostrophe that begins a pre-token takes one of some endings with it
+    at = np.flatnonzero((chars == 39) & start)
+    if len(at):
+        pad = np.concatenate([chars, np.zeros(3, chars.dtype)])
+        edge = np.concatenate([fresh, np.ones(3, bool)])
+        one, two = pad[at + 1], pad[at + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"]) & ~edge[at + 1]
+        long = ~short & ~edge[at + 1] & ~edge[at + 2] & (((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l"))))
+        start[at[short | long] + 1] = False
+        rest = np.concatenate([at[short] + 2, at[long] + 3])
+        start[rest[rest < len(chars)]] = True
     return np.flatnonzero(start)
 
 
+def _byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256."""
+    prints = np.zeros(256, bool)
+    for lo, hi in ((33, 126), (161, 172), (174, 255)):
+        prints[lo : hi + 1] = True
+    return np.where(prints, np.arange(256), 255 + np.cumsum(~prints)).astype("<u4")
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file of the tokenizers library."""
+    """Ids of texts by a tokenizer file (byte-level BPE) of the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)  # ids of all known words in a row
-        self.used = np.zeros(0, np.int32)  # slices that had the word
+        self.letters = _byte_letters()
+        self.words, self.flat, self.ends = Words(), Column(np.uint16), Column(np.int64)  # ids of all known words in a row
+        self.ends.add(np.zeros(1, np.int64))
 
     def _shrink(self) -> None:
-        """Forget the words that one slice had; of the others at most half the cache, the most used."""
-        numbers = np.fromiter(self.known.values(), np.int64, len(self.known))
-        used = self.used[numbers]
-        least = max(2, int(np.partition(used, -(CACHE // 2))[-(CACHE // 2)]) if len(used) > CACHE // 2 else 2)
-        keep = used >= least
-        kept = numbers[keep]
-        n = self.ends[kept + 1] - self.ends[kept]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        self.flat = self.flat[np.repeat(self.ends[kept] - ends[:-1], n) + np.arange(ends[-1])]
-        self.ends, self.used = ends, used[keep] // 2
-        self.known = {w: i for i, w in enumerate(w for w, k in zip(self.known, keep.tolist()) if k)}
-
-    def _add(self, parts: list) -> int:
-        """Append words' ids; the number of the first."""
-        first = len(self.ends) - 1
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(parts), np.uint16)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        self.used = np.concatenate([self.used, np.zeros(len(parts), np.int32)])
-        return first
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if len(miss := np.flatnonzero(out < 0)):
-            new = list(dict.fromkeys(words[m] for m in miss.tolist()))
-            first = self._add([e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-            self.known.update(zip(new, range(first, first + len(new))))
-            out[miss] = [self.known[words[m]] for m in miss.tolist()]
-        self.used[out] += 1
-        return out
+        kept = self.words.shrink(CACHE // 2)
+        first, n = self.ends.all[kept], self.ends.all[kept + 1] - self.ends.all[kept]
+        self.flat.keep(ranges(first, n))
+        self.ends.held, self.ends.size = np.concatenate([[0], np.cumsum(n)]), len(kept) + 1
+
+    def _merged(self, chars: np.ndarray, sizes: np.ndarray) -> None:
+        """Append the ids of some words, as the library's model merges them."""
+        raw = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        spelled = self.letters[raw].tobytes().decode("utf-32-le")
+        first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        ends = first[np.cumsum(sizes)].tolist()
+        merge = self.tokenizer.model.tokenize
+        parts = [[t.id for t in merge(spelled[a:b])] for a, b in zip([0, *ends], ends)]
+        self.flat.add(np.fromiter(chain.from_iterable(parts), np.uint16))
+        self.ends.add(self.ends.all[-1] + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and their numbers."""
-        if len(self.known) > CACHE:
+        if len(self.words) > CACHE:
             self._shrink()
         text = raw.tobytes().decode()
         at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts = pretoken_starts(chars, at)
-        edges = np.searchsorted(starts, at)
-        numbers = self._spans(text, chars, starts, np.append(starts[1:], len(text)) if len(starts) else starts)
-        odd = "'" in text or any(x in text for x in self.special)
-        if odd:  # texts that the plain cut doesn't hold for
-            parts = []
-            for k in range(len(off) - 1):
-                own = text[at[k] : at[k + 1]]
-                if any(x in own for x in self.special):
-                    parts.append(np.array([self._add([self.tokenizer.encode(own, add_special_tokens=False).ids])]))
-                elif "'" in own:
-                    parts.append(self._numbers(self.pattern.findall(own)))
-                else:
-                    parts.append(numbers[edges[k] : edges[k + 1]])
-            numbers = np.concatenate(parts)
-            edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        first, n = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
-        return ids, np.diff(total[edges])
-
-    def _spans(self, text: str, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Numbers of the words between starts and ends; only distinct words become strings."""
         if not len(starts):
-            return np.zeros(0, np.int64)
-        h = _code.ranges(_code.of_values(mix(chars.astype(U64) + U64(1))), starts, ends)
-        _, rep, kind = np.unique(h, return_index=True, return_inverse=True)
-        sizes = ends - starts
-        if (sizes != sizes[rep][kind]).any() or (chars != chars[np.repeat(starts[rep][kind] - starts, sizes) + np.arange(len(chars))]).any():
-            rep = kind = np.arange(len(starts))  # two words of one hash
-        return self._numbers([text[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist())])[kind]
+            return np.zeros(0, np.uint16), np.zeros(len(off) - 1, np.int64)
+        numbers, new = self.words.numbers(chars, starts)
+        if len(new):
+            sizes = np.diff(np.append(starts, len(chars)))[new]
+            self._merged(chars[ranges(starts[new], sizes)], sizes)
+        first = self.ends.all[numbers]
+        n = self.ends.all[numbers + 1] - first
+        ids = self.flat.all[ranges(first, n)]
+        total = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, at)]
+        if not any(x in text for x in self.special):
+            return ids, np.diff(total)
+        parts = [ids[a:b] for a, b in zip(total[:-1].tolist(), total[1:].tolist())]
+        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):  # special strings in texts are the whole tokenizer's matter
+            if any(x in text[a:b] for x in self.special):
+                parts[k] = np.array(self.tokenizer.encode(text[a:b], add_special_tokens=False).ids, np.uint16)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+#: The key of no pair: the last number is a rule's only if the numbers are used up, and no pair of it with itself is replaced.
+NONE = np.uint32(0xFFFFFFFF)
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (key * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(14)
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, most: int = PAIRS, least: int = 4) -> bytes:
-    """A block of documents: `ids` of all, `sizes` by document."""
+def compress(ids: np.ndarray, sizes: np.ndarray, most: int = PAIRS) -> bytes:
+    """A block of documents: `ids` of all, `sizes` by document. Rounds of at most `most` pairs go on until no pair occurs
+    twice or the numbers for rules are used up."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes) - 1] = True
     rules: list[np.ndarray] = []
     count = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or count >= RULES:
-            break
+    table, number, nowhere = np.full(1 << 18, NONE, np.uint32), np.zeros(1 << 18, np.int32), _slot(np.array([NONE]))
+    while len(seq) > 1 and count < RULES:
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
-        ordered = np.sort(key[~last[:-1]])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        times = np.diff(np.append(edge, len(ordered)))
-        pick = np.flatnonzero(times >= least)
+        key[last[:-1]] = NONE
+        ordered = np.sort(key)
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        edge = np.concatenate([[0], edge, [len(ordered)]])
+        times = np.diff(edge)
+        times[ordered[edge[:-1]] == NONE] = 0
+        pick = np.flatnonzero(times > 1)
         room = min(most, RULES - count)
         if len(pick) > room:
-            pick = pick[np.argsort(-times[pick], kind="stable")[:room]]
-        if not len(pick):
-            break
+            pick = pick[np.argpartition(-times[pick], room - 1)[:room]]
         chosen = ordered[edge[pick]]
         own = _slot(chosen)
-        table, number = np.zeros(1 << 16, np.uint32), np.full(1 << 16, -1, np.int64)
+        number[own] = np.arange(len(chosen))
+        chosen = chosen[number[own] == np.arange(len(chosen))]  # of two pairs in one slot one waits for the next round
+        own = _slot(chosen)
+        table[nowhere] = 0  # whose own place is another
         table[own], number[own] = chosen, np.arange(len(chosen))
-        stays = number[own] == np.arange(len(chosen))  # of two pairs in one slot one waits for the next round
-        chosen = chosen[stays]
-        number[own[stays]] = np.arange(len(chosen))
-        slot = _slot(key)
-        at = np.flatnonzero((table[slot] == key) & (number[slot] >= 0) & ~last[:-1])
-        rule = number[slot[at]]
+        at = np.flatnonzero(table[_slot(key)] == key)
+        rule = number[_slot(key[at])]
+        table[own] = NONE
         run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1])) if len(at) else at
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         at, rule = at[place % 2 == 0], rule[place % 2 == 0]
+        # a pair that overlaps (a a a) may be left with one place, and one with none: such a round ends the grammar
+        if len(at) < 2:
+            break
         seq[at] = (TERMINALS + count + rule).astype(np.uint32)
-        last[at] |= last[at + 1]
+        last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
@@ -224,59 +216,77 @@ def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, most: int
         lens[base : base + len(part)] = lens[part >> 16] + lens[part & 0xFFFF]
         base += len(part)
     symbols = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
-    head = np.array([len(sizes), count, len(seq), len(ids)], "<u4")
-    body = b"".join(x.tobytes() for x in (head, pairs, lens[TERMINALS : TERMINALS + count].astype("<u4"), seq.astype("<u2"), symbols.astype("<u4"), sizes.astype("<u4")))
-    return MAGIC + zstandard.ZstdCompressor(level=1).compress(body)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    parts = [pack(b"".join(x.tobytes() for x in (pairs, lens[TERMINALS : TERMINALS + count].astype("<u4")))), pack(b"".join(x.astype("<u4").tobytes() for x in (symbols, sizes)))]
+    parts += [pack(seq[i : i + FRAME].astype("<u2").tobytes()) for i in range(0, len(seq), FRAME)]
+    head = np.array([len(sizes), count, len(seq), len(ids), *map(len, parts)], "<u4")
+    return b"".join([MAGIC, head.tobytes(), *parts])
 
 
 class Block:
-    """A block as read back."""
+    """A block as read back. Only the parts that are asked for are unpacked."""
 
     def __init__(self, raw: bytes):
         if raw[:4] != MAGIC:
             raise ValueError("not a grammar block")
-        body = zstandard.ZstdDecompressor().decompress(raw[4:])
-        docs, rules, symbols, self.ids = np.frombuffer(body, "<u4", 4).tolist()
-        at = 16
-
-        def take(kind, n):
-            nonlocal at
-            out = np.frombuffer(body, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.rules = take("<u2", 2 * rules).reshape(-1, 2)
-        self.lens = np.concatenate([np.ones(TERMINALS, np.int64), take("<u4", rules)])
-        self.seq, self.symbols, self.sizes = take("<u2", symbols), take("<u4", docs), take("<u4", docs)
-        self.flat, self.first = np.arange(TERMINALS, dtype=np.uint16), np.arange(TERMINALS + 1)
-        high, i = self.rules.max(axis=1, initial=0), 0
-        while i < rules:  # the rules up to the first that refers to one of them expand together
-            late = np.flatnonzero(high[i:] >= TERMINALS + i)
-            j = i + int(late[0]) if len(late) else rules
-            if j == i:
-                raise ValueError("a rule refers to itself or a later one")
-            self.flat = np.concatenate([self.flat, self.expand(self.rules[i:j].ravel())])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(self.lens[TERMINALS + i : TERMINALS + j])])
-            i = j
+        docs, rules, self.length, self.ids = np.frombuffer(raw, "<u4", 4, 4).tolist()
+        lens = np.frombuffer(raw, "<u4", 2 + -(-self.length // FRAME), 20)
+        self._ends = 20 + lens.nbytes + np.concatenate([[0], np.cumsum(lens.astype(np.int64))])
+        self._raw, self._unpack = raw, zstandard.ZstdDecompressor().decompress
+        body = self._part(0)
+        self.rules = np.frombuffer(body, "<u2", 2 * rules).reshape(-1, 2)
+        self.lens = np.concatenate([np.ones(TERMINALS, np.int64), np.frombuffer(body, "<u4", rules, 4 * rules)])
+        high = self.rules.max(axis=1, initial=0)
+        if (high >= TERMINALS + np.arange(rules)).any():
+            raise ValueError("a rule refers to itself or a later one")
+        tables = np.frombuffer(self._part(1), "<u4")
+        self.symbols, self.sizes = tables[:docs], tables[docs:]
+        self._flat = None
+
+    def _part(self, k: int) -> bytes:
+        return self._unpack(self._raw[int(self._ends[k]) : int(self._ends[k + 1])])
+
+    def seq(self, lo: int, hi: int) -> np.ndarray:
+        """Symbols lo to hi, from the frames that hold them."""
+        first = lo // FRAME
+        frames = [np.frombuffer(self._part(2 + k), "<u2") for k in range(first, -(-hi // FRAME))]
+        return np.concatenate(frames)[lo - first * FRAME : hi - first * FRAME] if frames else np.zeros(0, "<u2")
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        n = self.lens[seq]
-        return self.flat[np.repeat(self.first[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        """The ids of some symbols, rule by rule as far as the symbols need them."""
+        while len(rule := np.flatnonzero(seq >= TERMINALS)):
+            n = np.ones(len(seq), np.int64)
+            n[rule] = 2
+            out = np.repeat(seq, n)
+            at = (np.cumsum(n) - n)[rule]
+            pair = self.rules[seq[rule].astype(np.int64) - TERMINALS]
+            out[at], out[at + 1] = pair[:, 0], pair[:, 1]
+            seq = out
+        return seq
 
     def all(self) -> np.ndarray:
-        return self.expand(self.seq)
+        """All ids: every rule is expanded once, then copied wherever it stands."""
+        n = self.lens[TERMINALS:]
+        flat = np.concatenate([np.arange(TERMINALS, dtype=np.uint16), self.expand(np.arange(TERMINALS, TERMINALS + len(n)).astype("<u2"))])
+        first = np.concatenate([np.arange(TERMINALS), TERMINALS + np.cumsum(n) - n])
+        seq = self.seq(0, self.length)
+        return flat[ranges(first[seq], self.lens[seq])]
 
     def document(self, k: int) -> np.ndarray:
         """Ids of one document, from its own symbols."""
         lo = int(self.symbols[:k].sum())
-        return self.expand(self.seq[lo : lo + int(self.symbols[k])])
+        return self.expand(self.seq(lo, lo + int(self.symbols[k])))
 
     def range(self, lo: int, hi: int) -> np.ndarray:
-        """Ids lo to hi of the block, from the symbols that hold them."""
-        ends = np.cumsum(self.lens[self.seq])
+        """Ids lo to hi of the block, from the documents that hold them and of these the symbols that do."""
+        ends = np.cumsum(self.sizes.astype(np.int64))
         i, j = np.searchsorted(ends, [lo, hi - 1], side="right")
-        before = int(ends[i - 1]) if i else 0
-        return self.expand(self.seq[i : j + 1])[lo - before : hi - before]
+        first = int(self.symbols[:i].sum())
+        seq = self.seq(first, first + int(self.symbols[i : j + 1].sum()))
+        start = int(ends[i] - self.sizes[i])
+        reach = start + np.cumsum(self.lens[seq])
+        a, b = np.searchsorted(reach, [lo, hi - 1], side="right")
+        return self.expand(seq[a : b + 1])[lo - (int(reach[a - 1]) if a else start) :][: hi - lo]
 
 
 def _write(path: str):

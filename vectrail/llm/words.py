@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from vectrail.llm.common import U64, Rolling, mix
+from vectrail.llm.common import U64, Rolling
 
 _code = Rolling(11)
 
@@ -43,7 +43,7 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return _code.ranges(_code.of_values(mix(chars.astype(U64) + U64(1))), starts, starts + sizes)
+    return _code.ranges(_code.of_values(chars.astype(U64) + U64(1)), starts, starts + sizes)
 
 
 class Words:
@@ -89,18 +89,22 @@ class Words:
             out = self.place[at] != number
             h, number, at = h[out], number[out], (at[out] + 1) & (len(self.place) - 1)
 
-    def numbers(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each word of a slice, and which of them (one each) stand for numbers that are new."""
+    def numbers(self, chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word of a slice, which the words fill, and which of them (one each) stand for new numbers."""
+        sizes = np.diff(np.append(starts, len(chars)))
         h = word_hashes(chars, starts, sizes)
         out = self._find(h)
-        if len(hit := np.flatnonzero(out >= 0)):
+        hit = np.flatnonzero(out >= 0)
+        if len(hit):
             begin = self.ends.all[out[hit]]
             differ = self.ends.all[out[hit] + 1] - begin != sizes[hit]
             out[hit[differ]] = -1
-            hit, begin = hit[~differ], begin[~differ]
-            wrong = self.chars.all[ranges(begin, sizes[hit])] != chars[ranges(starts[hit], sizes[hit])]
-            if wrong.any():
-                out[hit[np.unique(np.repeat(np.arange(len(hit)), sizes[hit])[wrong])]] = -1
+            shift = (-starts).astype(np.int32)
+            shift[hit[~differ]] += begin[~differ].astype(np.int32)
+            at = np.repeat(shift, sizes)
+            at += np.arange(len(chars), dtype=np.int32)
+            wrong = np.flatnonzero(self.chars.all.take(at, mode="clip") != chars)
+            out[np.searchsorted(starts, wrong, side="right") - 1] = -1  # others have no number yet
         miss = np.flatnonzero(out < 0)
         rep = miss
         if len(miss):
