@@ -95,6 +95,82 @@ def test_suffix_repeats_equal_brute_force(spark, documents, texts, nothing):
     assert suffix.remove_repeats(nothing).count() == 0
 
 
+def _byte_rows(raw, length=400):
+    rows = []
+    for t, spans in zip(raw, brute_spans(raw, length)):
+        rows.append((len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(suffix.cut(t, spans)).hexdigest()))
+    return rows
+
+
+def test_suffix_query_equals_brute_force_in_bytes(spark, texts, tmp_path):
+    """The registered columns; strings that polynomial hashes modulo 2**64 can't tell apart; null ids and columns more."""
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(256))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    filler = "".join(map(chr, np.random.default_rng(8).integers(0x61, 0x7B, 144)))
+    more = [(None, morse + filler), (None, other + filler), (901, "x" + morse + filler[:100]), (902, "é" * 500), (903, "z" + "é" * 230), (904, "ab" * 700), (905, "ab" * 700 + "q")]
+    rows = [*texts, *more]
+    spark.createDataFrame([(i, t, "en", i) for i, t in rows], "doc_id long, text string, lang string, n_bytes long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = suffix.op5_suffix_repeats(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = sorted((r[0] is None, r[0] or 0, *r[1:5]) for r in got.collect())
+    raw = [(t or "").encode() for _, t in rows]
+    assert got == sorted((i is None, i or 0, *x) for (i, _), x in zip(rows, _byte_rows(raw)))
+
+
+def _spans_in_process(raw, length, buckets, batch=3):
+    import pyarrow as pa
+
+    class Shared:
+        value = substring.Sketch([r for b in substring._merge(sorted_rows(suffix._sketch(length)([pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["text"])]))) for r in b.to_pylist()])
+
+    sent = []
+    for i in range(0, len(raw), batch):
+        n = len(raw[i : i + batch])
+        ids = pa.array(range(i, i + n), pa.int64())
+        for b in suffix._pieces(Shared, length, buckets)([pa.RecordBatch.from_arrays([pa.array(raw[i : i + batch], pa.binary()), ids, ids], names=["text", "k1", "k2"])]):
+            sent += b.to_pylist()
+    sent.sort(key=lambda r: r["bucket"])
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pylist(sent)] if sent else []
+    return sent, [r for b in suffix._repeats(length, buckets)(batches) for r in b.to_pylist()]
+
+
+def sorted_rows(batches):
+    import pyarrow as pa
+
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["slice"])
+    return [pa.RecordBatch.from_pylist(rows, pa.schema([("slice", pa.int32()), ("what", pa.int64()), ("cells", pa.binary())]))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_parts_equal_brute_force(seed, monkeypatch):
+    """Texts of repeated fragments, long ones read in chunks, by whatever buckets."""
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 700)
+    rng = np.random.default_rng(seed)
+    parts = [bytes(rng.integers(97, 97 + rng.integers(1, 26), rng.integers(150, 420)).astype(np.uint8)) for _ in range(12)]
+    raw = [b"".join(parts[k] for k in rng.integers(0, 12, rng.integers(0, 9))) for _ in range(14)]
+    length = 300
+    for buckets in (1, 3):
+        _, marks = _spans_in_process(raw, length, buckets)
+        held = exchange.Marks([tuple(r[p] for p in exchange.PARTS) for r in marks])
+        assert [suffix._union(*held.of(i, i)) for i in range(len(raw))] == brute_spans(raw, length)
+
+
+def test_repeat_groups_hold_all_places(spark, documents, texts):
+    rows = suffix.repeat_groups(documents).collect()
+    by_id = {}
+    for i, t in texts:
+        by_id.setdefault(i, []).append((t or "").encode())
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["group"], r["length"]), []).append((r["doc_id"], r["start"]))
+    assert groups
+    for (_, n), places in groups.items():
+        found = [{t[a : a + n] for t in by_id[i] if len(t) >= a + n} for i, a in places]
+        assert len(places) > 1 and n >= 400 and set.intersection(*found)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_maximal_repeats_equal_brute_force(seed):
     rng = np.random.default_rng(seed)

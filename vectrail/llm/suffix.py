@@ -8,18 +8,21 @@ interval tree. The suffix array is built in parts:
    sketch (two bit maps of fixed size, see substring); windows under a run that occurs once are unique and leave.
 2. Routing. The other windows go to the bucket of their least-hashed run of `FINE` bytes, so equal windows meet.
    Neighbouring windows of one such run travel as one piece of text; a task folds its equal pieces into one with a list
-   of places, so that copies are sent once a batch.
-3. Each bucket sorts its suffixes by the name of their first `length` bytes (two rolling hashes, 128 bits), which are
-   the intervals of depth `length`. An interval whose members all have the same byte to their left is the shift of
-   another and adds nothing. The members of the left-diverse ones are sorted by what follows, the common prefixes of
-   neighbours measured, and a stack scan gives all intervals: the maximal repeat groups with all their occurrences. A
-   member is covered for the length of the deepest interval it is in.
+   of places, so that copies are sent once a batch. A bucket has `PARTS` parts (by the same run) that its task sorts one
+   after the other: its arrays are those of one part, and pieces are folded by their bytes.
+3. A part's suffixes are first grouped by a hash of their first `length` bytes. A group whose members all have the same
+   byte to their left is the shift of another and leaves. What stays is compared byte by byte (a hash only proposes),
+   sorted by what follows, seven bytes a round, which also gives the common prefixes of neighbours; `stack_scan` then
+   makes the tree's intervals of depth `length` or more from them. An interval with different left extensions is a
+   maximal repeat of the part, with all its places; its members are covered for its depth.
 4. The covered runs of every piece go back to all places of the piece, and the bytes out of the documents.
 
-`maximal_repeats` is the same tree over one list of texts, for small inputs and tests.
+`repeat_groups` gives the groups of step 3 with all their places; `maximal_repeats` is the same tree over one list of
+texts, for small inputs and tests.
 
 Defined cases: null and empty texts and those under `length` bytes lose nothing; repeated rows are separate documents
-and so repeat each other; null doc_ids are fine; matches never cross documents.
+and so repeat each other; null doc_ids are fine; matches never cross documents; a text of any length is read in
+overlapping chunks of about 1 MB; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,13 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrail.llm import substring
-from vectrail.llm.common import U64, Rolling, as_long, binary_parts, read_table, row_keys, shuffle_parts, sliding_min, slices
+from vectrail.llm.common import SLICE_BYTES, U64, Rolling, as_long, binary_parts, read_table, release, row_keys, shuffle_parts, sliding_min, slices
 from vectrail.llm.exchange import MARKS, pack_marks, with_marks
+from vectrail.llm.words import ranges
 
 COARSE = 256
 FINE = 48
-BUCKET_BYTES = 24 << 20
-_one, _two = Rolling(5), Rolling(6)
+BUCKET_BYTES = 16 << 20
+PARTS = 32
+FLUSH_BYTES = 16 << 20
+_one = Rolling(5)
 _LOW = U64((1 << 24) - 1)
 
 
@@ -57,20 +63,29 @@ def _starts(off: np.ndarray, length: int) -> np.ndarray:
     return np.repeat(off[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
 
 
+def _chunks(off: np.ndarray, length: int):
+    """(first document, byte offsets of some documents): slices, and long documents cut so that each window is in one."""
+    for i, j in slices(off):
+        if off[j] - off[i] <= 2 * SLICE_BYTES or j - i > 1:
+            yield i, off[i : j + 1]
+            continue
+        for a in range(int(off[i]), int(off[j]) - length + 1, SLICE_BYTES):
+            yield i, np.array([a, min(int(off[j]), a + SLICE_BYTES + length - 1)])
+
+
 def _sketch(length: int):
     def run(batches):
         held, size, seen = [], 0, 0
         for batch in batches:
             raw, off = binary_parts(batch.column(0))
-            for i, j in slices(off):
-                lo, hi = off[i], off[j]
-                at = _starts(off[i : j + 1] - lo, length)
+            for _, own in _chunks(off, length):
+                lo, hi = own[0], own[-1]
+                at = _starts(own - lo, length)
                 seen += int(hi - lo)
                 if not len(at):
                     continue
                 least = sliding_min(_keyed(_one.of_bytes(raw[lo:hi]), COARSE), length - COARSE + 1)[at]
-                kept = np.unique(least) >> U64(24)
-                held.append(np.repeat(np.unique(kept), 2) if hi - lo >= 1 << 24 else kept)
+                held.append(np.unique(least) >> U64(24))
                 size += len(held[-1])
                 if size > 1 << 22:
                     yield substring.sketch_rows(held)
@@ -80,57 +95,70 @@ def _sketch(length: int):
     return run
 
 
-PIECE = ("k1", "k2", "h1", "h2", "size", "text", "n", "doc", "at")
-_KINDS = dict(zip(PIECE, (np.int64, np.int64, U64, U64, np.uint32, None, np.uint32, np.uint32, np.uint32)))
+PIECE = ("k1", "k2", "parts", "size", "text", "n", "doc", "at")
+_KINDS = dict(zip(PIECE, (np.int64, np.int64, np.uint32, np.uint32, None, np.uint32, np.uint32, np.uint32)))
 
 
 def _pieces(shared, length: int, buckets: int):
+    def found_in(raw, off, sketch):
+        """(route, first byte, bytes, document) of the pieces, by slices."""
+        for i, where in _chunks(off, length):
+            lo, hi = where[0], where[-1]
+            own = where - lo
+            at = _starts(own, length)
+            if not len(at):
+                continue
+            a = _one.of_bytes(raw[lo:hi])
+            coarse = sliding_min(_keyed(a, COARSE), length - COARSE + 1)[at]
+            new = np.flatnonzero(np.concatenate([[True], coarse[1:] != coarse[:-1]]))
+            at = at[np.repeat(sketch.repeated(coarse[new] >> U64(24)), np.diff(np.concatenate([new, [len(at)]])))]
+            if not len(at):
+                continue
+            fine = sliding_min(_keyed(a, FINE), length - FINE + 1)[at]
+            doc = np.searchsorted(own, at, side="right") - 1
+            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (fine[1:] != fine[:-1]) | (doc[1:] != doc[:-1])]))
+            first, last = at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1] + length
+            yield fine[cut] >> U64(24), first + lo, last - first, doc[cut] + i
+
+    def packed(raw, off, k1, k2, found):
+        route, first, size, doc = (np.concatenate(x) for x in zip(*found))
+        home = (route % U64(buckets * PARTS)).astype(np.int64)  # bucket by bucket, part by part
+        order = np.lexsort((first, home))
+        home, first, size, doc = (x[order] for x in (home, first, size, doc))
+        kinds: dict[bytes, int] = {}
+        kind = np.fromiter((kinds.setdefault(raw[a:b].tobytes(), len(kinds)) for a, b in zip(first.tolist(), (first + size).tolist())), np.int64, len(first))
+        lead = np.unique(kind, return_index=True)[1]
+        times = np.bincount(kind, minlength=len(lead))
+        by = np.argsort(kind, kind="stable")
+        doc, at = doc[by], (first - off[doc])[by]
+        place = np.concatenate([[0], np.cumsum(times)])
+        texts, rows, where, pack = list(kinds), {c: [] for c in PIECE}, [], zstandard.ZstdCompressor(level=1).compress
+        edges = np.searchsorted(home[lead], np.arange(0, buckets * PARTS + 1, PARTS))
+        for bucket in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = int(edges[bucket]), int(edges[bucket + 1])
+            own = slice(place[lo], place[hi])
+            used, back = np.unique(doc[own], return_inverse=True)
+            where.append(bucket)
+            parts = np.bincount(home[lead[lo:hi]] % PARTS, minlength=PARTS)
+            for name, part in (("k1", k1[used]), ("k2", k2[used]), ("parts", parts), ("size", size[lead[lo:hi]]), ("n", times[lo:hi]), ("doc", back), ("at", at[own])):
+                rows[name].append(part.astype(_KINDS[name]).tobytes())
+            rows["text"].append(pack(b"".join(texts[lo:hi])))
+        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(pa.array(rows[c], pa.binary()) for c in PIECE)], names=["bucket", *PIECE])
+
     def run(batches):
         sketch = shared.value
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw, off = binary_parts(batch.column(0))
             k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            found = []
-            for i, j in slices(off):
-                lo, hi = off[i], off[j]
-                own = off[i : j + 1] - lo
-                at = _starts(own, length)
-                if not len(at):
-                    continue
-                a = _one.of_bytes(raw[lo:hi])
-                coarse = sliding_min(_keyed(a, COARSE), length - COARSE + 1)[at]
-                new = np.flatnonzero(np.concatenate([[True], coarse[1:] != coarse[:-1]]))
-                at = at[np.repeat(sketch.repeated(coarse[new] >> U64(24)), np.diff(np.concatenate([new, [len(at)]])))]
-                if not len(at):
-                    continue
-                fine = sliding_min(_keyed(a, FINE), length - FINE + 1)[at]
-                doc = np.searchsorted(own, at, side="right") - 1
-                cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (fine[1:] != fine[:-1]) | (doc[1:] != doc[:-1])]))
-                first, last = at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1] + length
-                b = _two.of_bytes(raw[lo:hi])
-                found.append((fine[cut] >> U64(24), _one.ranges(a, first, last), _two.ranges(b, first, last), first + lo, last - first, doc[cut] + i, first - own[doc[cut]]))
-            if not found:
-                continue
-            route, h1, h2, first, size, doc, at = (np.concatenate(x) for x in zip(*found))
-            to = (route % U64(buckets)).astype(np.int64)
-            order = np.lexsort((at, doc, size, h2, h1, route, to))
-            to, h1, h2, first, size, doc, at = (x[order] for x in (to, h1, h2, first, size, doc, at))
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (size[1:] != size[:-1]) | (to[1:] != to[:-1])])
-            kinds = np.flatnonzero(new)
-            times = np.diff(np.concatenate([kinds, [len(to)]]))
-            edges = np.searchsorted(to[kinds], np.arange(buckets + 1))
-            rows, where = {c: [] for c in PIECE}, []
-            for bucket in np.flatnonzero(np.diff(edges)).tolist():
-                own = kinds[edges[bucket] : edges[bucket + 1]]
-                end = kinds[edges[bucket + 1]] if edges[bucket + 1] < len(kinds) else len(to)
-                used, back = np.unique(doc[own[0] : end], return_inverse=True)
-                text = b"".join(raw[x : x + y].tobytes() for x, y in zip(first[own].tolist(), size[own].tolist()))
-                where.append(bucket)
-                for name, part in (("k1", k1[used]), ("k2", k2[used]), ("h1", h1[own]), ("h2", h2[own]), ("size", size[own].astype(np.uint32)), ("n", times[edges[bucket] : edges[bucket + 1]].astype(np.uint32)), ("doc", back.astype(np.uint32)), ("at", at[own[0] : end].astype(np.uint32))):
-                    rows[name].append(part.tobytes())
-                rows["text"].append(pack.compress(text))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(pa.array(rows[c], pa.binary()) for c in PIECE)], names=["bucket", *PIECE])
+            found, held = [], 0
+            for x in found_in(raw, off, sketch):
+                found.append(x)
+                held += int(x[2].sum())
+                if held > FLUSH_BYTES:
+                    yield packed(raw, off, k1, k2, found)
+                    found, held = [], 0
+            if found:
+                yield packed(raw, off, k1, k2, found)
 
     return run
 
@@ -148,107 +176,120 @@ def stack_scan(lcp: list[int]) -> list[tuple[int, int, int]]:
     return [x for x in out if x[0] >= 0]
 
 
-def neighbour_lcp(raw: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, at most `room`."""
-    out, live, step = np.zeros(len(a), np.int64), np.arange(len(a)), 64
-    while len(live):
-        at = out[live]
-        span = np.minimum(room[live] - at, step)
-        j = np.arange(step)
-        x = np.minimum((a[live] + at)[:, None] + j, len(raw) - 1)
-        y = np.minimum((b[live] + at)[:, None] + j, len(raw) - 1)
-        differ = (raw[x] != raw[y]) | (j >= span[:, None])
-        run = np.where(differ.any(axis=1), differ.argmax(axis=1), step)
-        out[live] += run
-        live = live[(run == step) & (out[live] < room[live])]
-    return out
+_WORD = 7  # bytes compared at once; the eighth says how many of them there are
+_MASK = np.array([((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(_WORD + 1)], U64)
 
 
 class Tree:
-    """The interval tree of depth `length` and more over some pieces of text, each with a weight (its copies)."""
+    """The interval tree of depth `length` and more over some pieces of text, each with a weight (its copies).
+
+    `at` has the members (suffixes with another of the same first `length` bytes, whose left bytes differ) in order of
+    the suffix array, `lcp` the common prefixes of neighbours (-1 where they share less than `length`), and `intervals`
+    the left-diverse intervals as (depth, first, last); a single member of several copies is an interval of its own."""
 
     def __init__(self, raw: np.ndarray, sizes: np.ndarray, weight: np.ndarray, length: int):
         self.raw, self.length, self.weight = raw, length, weight
-        off = np.concatenate([[0], np.cumsum(sizes)])
-        self.off = off
-        at = _starts(off, length)
-        self.piece = np.searchsorted(off, at, side="right") - 1
-        a, b = _one.windows(_one.of_bytes(raw), length), _two.windows(_two.of_bytes(raw), length)
-        h1 = a[at]
-        order = np.argsort(h1)
-        h1 = h1[order]
-        new = np.concatenate([[True], h1[1:] != h1[:-1]]) if len(h1) else np.zeros(0, bool)
-        h2 = b[at[order]]
-        if ((h2[1:] != h2[:-1]) & ~new[1:]).any():
-            order = np.lexsort((b[at], a[at]))
-            h1, h2 = a[at[order]], b[at[order]]
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        first = np.flatnonzero(new)
-        node = np.cumsum(new) - 1
-        count = np.bincount(node, weights=weight[self.piece[order]], minlength=len(first)) if len(first) else np.zeros(0)
-        # left extension: the byte before, 256 where the piece begins (which nothing else equals)
-        left = np.where(at == off[self.piece], 256, raw[np.maximum(at - 1, 0)].astype(np.int64))[order]
-        if len(first):
-            low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
-            diverse = (low != high) | (high == 256)
-            keep = ((count > 1) & diverse)[node]
-        else:
-            keep = np.zeros(0, bool)
-        self.at = at[order][keep]
-        self.of = self.piece[order][keep]
-        self._sort_tails(node[keep])
-
-    def _sort_tails(self, node: np.ndarray) -> None:
+        self.off = np.concatenate([[0], np.cumsum(sizes)])
+        self._words = np.ndarray((len(raw),), ">u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+        at = _starts(self.off, length)
+        h = _one.windows(_one.of_bytes(raw), length)[at]
+        order = np.argsort(h)
+        at, h = at[order], h[order]
+        node = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        del h, order
+        self._members(at, node)
+        if len(self.at) and not self._same_heads():
+            # two strings of one hash: the members' nodes by their bytes
+            names: dict[bytes, int] = {}
+            node = np.array([names.setdefault(raw[a : a + length].tobytes(), len(names)) for a in self.at.tolist()])
+            by = np.argsort(node, kind="stable")
+            self._members(self.at[by], node[by])
+        self._sort()
+        self._scan()
+
+    def _members(self, at: np.ndarray, node: np.ndarray) -> None:
+        """Keep the suffixes (in order of their nodes) of nodes with several places and different left bytes."""
+        self.at, self.of, self.node, self.left = at, np.zeros(0, np.int64), node, np.zeros(0, np.int64)
+        if not len(at):
+            return
+        of = np.searchsorted(self.off, at, side="right") - 1
+        # the byte before; a piece's begin is unlike any other, even itself
+        begins = at == self.off[of]
+        left = np.where(begins, 256 + np.arange(len(at)), self.raw[np.maximum(at - 1, 0)].astype(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count = np.add.reduceat(self.weight[of], first)
+        low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
+        keep = np.repeat((count > 1) & ((low != high) | (high > 255)), np.diff(np.append(first, len(at))))
+        self.at, self.of, self.node, self.left = at[keep], of[keep], node[keep], left[keep]
+
+    def _same_heads(self) -> bool:
+        """Whether neighbours of one node do share their first bytes."""
+        pairs = np.flatnonzero(self.node[1:] == self.node[:-1])
+        a, b = self.at[pairs], self.at[pairs + 1]
+        steps = [*range(0, self.length - 7, 8), self.length - 8]
+        return all((self._words[a + k] == self._words[b + k]).all() for k in steps) if self.length >= 8 else all((self.raw[a + k] == self.raw[b + k]).all() for k in range(self.length))
+
+    def _sort(self) -> None:
         """Sort the members of every node by what follows the first `length` bytes, and measure common prefixes."""
-        raw, end = self.raw, self.off[self.of + 1]
-        tail = self.at + self.length
-        most = int((end - tail).max()) if len(tail) else 0
-        order = np.argsort(node, kind="stable")
-        if most:
-            j = np.arange(most)
-            rank = np.empty(len(tail), np.int64)
-            for i in range(0, len(tail), 1 << 14):  # nodes are few here: bounded blocks of their tails
-                x = np.minimum(tail[i : i + (1 << 14), None] + j, len(raw) - 1)
-                rows = np.where(tail[i : i + (1 << 14), None] + j < end[i : i + (1 << 14), None], raw[x].astype(np.uint16) + 1, 0).astype(">u2")
-                if i == 0:
-                    keys = np.empty(len(tail), f"S{2 * most}")
-                keys[i : i + (1 << 14)] = rows.view(f"S{2 * most}").ravel()
-            by = np.argsort(keys, kind="stable")
-            rank[by] = np.arange(len(by))
-            order = np.lexsort((rank, node))
-        self.at, self.of, node = self.at[order], self.of[order], node[order]
-        end = self.off[self.of + 1]
-        self.room = end - self.at
-        same = node[1:] == node[:-1]
-        self.lcp = np.full(max(0, len(node) - 1), -1, np.int64)
-        pick = np.flatnonzero(same)
-        if len(pick):
-            room = np.minimum(self.room[pick], self.room[pick + 1]) - self.length
-            self.lcp[pick] = self.length + neighbour_lcp(raw, self.at[pick] + self.length, self.at[pick + 1] + self.length, room)
+        n = len(self.at)
+        self.lcp = np.full(max(0, n - 1), -1, np.int64)
+        self.room = self.off[self.of + 1] - self.at
+        order, depth = np.arange(n), self.length
+        first = np.concatenate([[True], self.node[1:] != self.node[:-1]]) if n else np.zeros(0, bool)
+        group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        place = np.flatnonzero(~(first & np.append(first[1:], True)))  # of nodes with several members
+        while len(place):
+            member, own = order[place], group[place]
+            has = np.minimum(self.room[member] - depth, _WORD)
+            key = (self._words[np.minimum(self.at[member] + depth, len(self.raw) - 1)].astype(U64) & _MASK[has]) | has.astype(U64)
+            by = np.lexsort((key, own))
+            order[place], key = member[by], key[by]
+            same = own[1:] == own[:-1]
+            differ = same & (key[1:] != key[:-1])
+            # common bytes of neighbours that differ here, or of those that both end here
+            at = np.flatnonzero(differ)
+            x = key[at] ^ key[at + 1]
+            common = sum((x < U64(1 << 8 * k)).astype(np.int64) for k in range(_WORD, 0, -1))
+            ends = np.minimum(key[at] & U64(255), key[at + 1] & U64(255)).astype(np.int64)
+            self.lcp[place[at]] = depth + np.minimum(common, ends)
+            at = np.flatnonzero(same & ~differ & ((key[1:] & U64(255)) < _WORD))
+            self.lcp[place[at]] = depth + (key[at] & U64(255)).astype(np.int64)
+            first = np.concatenate([[True], ~same | differ])
+            group[place] = place[np.maximum.accumulate(np.where(first, np.arange(len(place)), 0))]
+            alone = first & np.append(first[1:], True)
+            place = place[~alone & ((key & U64(255)) == _WORD)]
+            depth += _WORD
+        self.at, self.of, self.left, self.room = self.at[order], self.of[order], self.left[order], self.room[order]
+
+    def _scan(self) -> None:
+        """The left-diverse intervals."""
+        found = np.array(stack_scan(self.lcp.tolist()), np.int64).reshape(-1, 3)
+        copies = np.flatnonzero((self.weight[self.of] > 1) & (self.left > 255)) if len(self.at) else np.zeros(0, np.int64)
+        changes = np.concatenate([[0], np.cumsum(self.left[1:] != self.left[:-1])])
+        found = found[changes[found[:, 2]] > changes[found[:, 1]]]
+        alone = np.column_stack([self.room[copies], copies, copies]) if len(copies) else found[:0]
+        self.intervals = np.concatenate([found, alone])
 
     def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, from, to) of what the deepest interval of each member covers."""
+        """(piece, from, to) of what each member's deepest interval covers."""
         deep = np.zeros(len(self.at), np.int64)
-        np.maximum(deep[:-1], self.lcp, out=deep[:-1])
-        np.maximum(deep[1:], self.lcp, out=deep[1:])
-        deep = np.where(self.weight[self.of] > 1, self.room, deep)
-        lo = self.at - self.off[self.of]
-        return self.of, lo, lo + deep
+        for depth, i, j in self.intervals[np.argsort(self.intervals[:, 0], kind="stable")].tolist():
+            deep[i : j + 1] = depth
+        has = np.flatnonzero(deep)
+        lo = self.at[has] - self.off[self.of[has]]
+        return self.of[has], lo, lo + deep[has]
 
     def groups(self):
-        """Maximal repeats (length, [(piece, position), ...]): intervals with two or more places and different left sides."""
-        left = [None if r == 0 else int(self.raw[a - 1]) for a, r in zip(self.at.tolist(), (self.at - self.off[self.of]).tolist())]
-        for depth, i, j in stack_scan(self.lcp.tolist()):
-            seen = {left[x] for x in range(i, j + 1)}
-            if len(seen) > 1 or None in seen:
-                yield depth, sorted((int(self.of[x]), int(self.at[x] - self.off[self.of[x]])) for x in range(i, j + 1))
+        """Maximal repeats: (length, members' pieces, members' places in them)."""
+        for depth, i, j in self.intervals.tolist():
+            yield depth, self.of[i : j + 1], self.at[i : j + 1] - self.off[self.of[i : j + 1]]
 
 
 def maximal_repeats(texts: list[bytes], length: int = 400) -> list[tuple[int, list[tuple[int, int]]]]:
     """All maximal repeats of `length` bytes or more in some texts: (bytes, all its places as text and position)."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return sorted(Tree(raw, sizes, np.ones(len(texts)), length).groups())
+    return sorted((n, sorted(zip(of.tolist(), at.tolist()))) for n, of, at in Tree(raw, sizes, np.ones(len(texts)), length).groups())
 
 
 def merge_spans(piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,34 +306,84 @@ def merge_spans(piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
     return piece[first], lo[first], reach[last] - shift[last]
 
 
+class _Bucket:
+    """The pieces of a bucket, from all tasks that sent some."""
+
+    def __init__(self, blocks: list[dict]):
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.blocks, base = [], 0
+        for b in blocks:
+            one = {c: np.frombuffer(b[c], _KINDS[c]).astype(np.int64) for c in PIECE if c != "text"}
+            one |= {"text": unpack(b["text"]), "edge": np.concatenate([[0], np.cumsum(one["parts"])]), "byte": np.concatenate([[0], np.cumsum(one["size"])]), "place": np.concatenate([[0], np.cumsum(one["n"])])}
+            one["doc"] += base
+            base += len(one["k1"])
+            self.blocks.append(one)
+        self.k1, self.k2 = (np.concatenate([b[c] for b in self.blocks]) for c in ("k1", "k2"))
+
+    def part(self, p: int):
+        """The distinct pieces of a part, the number of places of each, and by place: its piece, document and position."""
+        kinds: dict[bytes, int] = {}
+        kind, n, doc, at = [], [], [], []
+        for b in self.blocks:
+            lo, hi = int(b["edge"][p]), int(b["edge"][p + 1])
+            ends = b["byte"][lo : hi + 1].tolist()
+            kind += [kinds.setdefault(b["text"][x:y], len(kinds)) for x, y in zip(ends, ends[1:])]
+            n.append(b["n"][lo:hi])
+            doc.append(b["doc"][b["place"][lo] : b["place"][hi]])
+            at.append(b["at"][b["place"][lo] : b["place"][hi]])
+        n, doc, at = (np.concatenate(x) for x in (n, doc, at))
+        kind = np.array(kind, np.int64)
+        return list(kinds), np.bincount(kind, weights=n, minlength=len(kinds)), np.repeat(kind, n), doc, at
+
+
+def _tree(texts: list[bytes], weight: np.ndarray, length: int) -> Tree:
+    return Tree(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)), weight, length)
+
+
 def _repeats(length: int, buckets: int):
+    """The covered spans of all documents."""
+
     def done(blocks):
-        unpack = zstandard.ZstdDecompressor()
-        parts = [{c: np.frombuffer(b[c], _KINDS[c]) if c != "text" else np.frombuffer(unpack.decompress(b[c]), np.uint8) for c in PIECE} for b in blocks]
-        h1, h2, size, n = (np.concatenate([p[c] for p in parts]) for c in ("h1", "h2", "size", "n"))
-        k1, k2 = (np.concatenate([p[c] for p in parts]) for c in ("k1", "k2"))
-        base = np.cumsum([0, *(len(p["k1"]) for p in parts)])
-        doc = np.concatenate([p["doc"].astype(np.int64) + x for p, x in zip(parts, base)])
-        at = np.concatenate([p["at"] for p in parts]).astype(np.int64)
-        raw = np.concatenate([p["text"] for p in parts])
-        off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-        order = np.lexsort((size, h2, h1))
-        new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (size[order][1:] != size[order][:-1])])
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        which = order[new]
-        weight = np.bincount(kind, weights=n, minlength=len(which))
-        own = np.concatenate([raw[off[x] : off[x + 1]] for x in which.tolist()])
-        tree = Tree(own, size[which].astype(np.int64), weight, length)
-        piece, lo, hi = merge_spans(*tree.covered())
-        # every place of a piece gets the piece's spans
-        place_kind = np.repeat(kind, n)
-        edges = np.searchsorted(piece, np.arange(len(which) + 1))
-        times = np.diff(edges)[place_kind]
-        place = np.repeat(np.arange(len(place_kind)), times)
-        span = np.repeat(edges[place_kind] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        return pack_marks(k1[doc[place]], k2[doc[place]], at[place] + lo[span], at[place] + hi[span], buckets)
+        bucket, found = _Bucket(blocks), []
+        for p in range(PARTS):
+            texts, weight, of, doc, at = bucket.part(p)
+            if not texts:
+                continue
+            piece, lo, hi = merge_spans(*_tree(texts, weight, length).covered())
+            # every place of a piece gets the piece's spans
+            edges = np.searchsorted(piece, np.arange(len(texts) + 1))
+            times = np.diff(edges)[of]
+            place, span = np.repeat(np.arange(len(of)), times), ranges(edges[of], times)
+            found.append((bucket.k1[doc[place]], bucket.k2[doc[place]], at[place] + lo[span], at[place] + hi[span]))
+        return pack_marks(*(np.concatenate(x) for x in zip(*found)), buckets)
+
+    return _by_bucket(done)
+
 
+def _groups(length: int):
+    """All groups of the buckets' trees, a row a place."""
+
+    def done(blocks):
+        bucket = _Bucket(blocks)
+        names, sizes, docs, starts = [], [], [], []
+        for p in range(PARTS):
+            texts, weight, of, doc, at = bucket.part(p)
+            by = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[by], np.arange(len(texts) + 1))
+            for n, (depth, pieces, shifts) in enumerate(_tree(texts, weight, length).groups() if texts else ()):
+                times = edges[pieces + 1] - edges[pieces]
+                place = by[ranges(edges[pieces], times)]
+                names += [f"{blocks[0]['bucket']}.{p}.{n}"] * len(place)
+                sizes.append(np.full(len(place), depth))
+                docs.append(bucket.k1[doc[place]])
+                starts.append(at[place] + np.repeat(shifts, times))
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(cat, (sizes, docs, starts))], names=["group", "length", "doc_id", "start"])
+
+    return _by_bucket(done)
+
+
+def _by_bucket(done):
     def run(batches):
         now, blocks = None, []
         for batch in batches:
@@ -300,6 +391,7 @@ def _repeats(length: int, buckets: int):
                 if row["bucket"] != now and blocks:
                     yield done(blocks)
                     blocks = []
+                    release()
                 now = row["bucket"]
                 blocks.append(row)
         if blocks:
@@ -308,8 +400,8 @@ def _repeats(length: int, buckets: int):
     return run
 
 
-def repeated_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> tuple[DataFrame, int]:
-    """Marks (see exchange) of the repeated byte spans of every document, and the number of buckets."""
+def _routed(documents: DataFrame, doc_id: str, text: str, length: int) -> tuple[DataFrame, int]:
+    """The suspects' pieces, bucket by bucket, and the number of buckets."""
     if length <= COARSE:
         raise ValueError(f"a string has more than {COARSE} bytes")
     spark = documents.sparkSession
@@ -318,7 +410,21 @@ def repeated_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     buckets = max(shuffle_parts(spark), sketch.words // BUCKET_BYTES)
     schema = ", ".join(["bucket int", *(f"{c} binary" for c in PIECE)])
     sent = texts.mapInArrow(_pieces(spark.sparkContext.broadcast(sketch), length, buckets), schema)
-    return sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length, buckets), MARKS), buckets
+    return sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket"), buckets
+
+
+def repeated_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> tuple[DataFrame, int]:
+    """Marks (see exchange) of the repeated byte spans of every document, and the number of buckets."""
+    routed, buckets = _routed(documents, doc_id, text, length)
+    return routed.mapInArrow(_repeats(length, buckets), MARKS), buckets
+
+
+def repeat_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+    """(group, length, doc_id, start): the maximal repeats of every part of the suffix array with all their places, a row
+    a place. A repeat that is longer than a part's pieces comes as several groups that overlap."""
+    routed, _ = _routed(documents, doc_id, text, length)
+    rows = routed.mapInArrow(_groups(length), "group string, length long, doc_id long, start long")
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
