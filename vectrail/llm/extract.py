@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each run of text between block-level tags. A line's length counts where it can
-be article text: lines in menus, page headers, footers, sidebars, notices, adverts, forms or reader comments (by
-element, role, class or id) count nothing, nor do lines that are mostly links, nor, where the page has article or main
-elements, those outside the one with most text. The lengths are summed over windows of `WINDOW` lines: text surges where
-a window reaches the threshold (`SURGE` characters, or half of the page's largest window if that is less) and dives
-where a window is empty. The text from the first line before a surge that is joined to it down to the dive is kept.
+Markup is stripped into lines, one for each run of text between block-level tags. Hints lower a line's weight, which is
+its length otherwise: lines in menus, page headers, footers, sidebars, notices, adverts, forms or reader comments (by
+element, role, class or id) and lines that are mostly links weigh nothing; where the page has article or main elements,
+lines outside the one with most text weigh a `FAR`th and are looked at by themselves. The weights are summed over windows
+of `WINDOW` lines: text surges where a window reaches the threshold (`SURGE`, or half of the page's largest window if that
+is less) and dives where a window is empty. All text from the first line before a surge that is joined to it down to the
+dive is kept, as are lines of the same element that a notice in between cut off.
 
 Each page is read by itself, in one pass over its whole html; nothing is shuffled.
 
@@ -27,11 +28,13 @@ from vectrail.llm.common import as_long, read_table
 
 WINDOW = 3
 SURGE = 86
+FAR = 16
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 HINT = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 RAW = frozenset("script style template noscript iframe svg math object canvas audio video title textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 BAD_NAMES = frozenset(
@@ -42,6 +45,7 @@ BAD_NAMES = frozenset(
     widget widgets""".split()
 )
 GOOD_NAMES = frozenset("article content entry post story body text".split())
+READERS = frozenset("comment comments disqus replies reply respond".split())
 RIGHTS = re.compile(r"^\s*(©|\(c\)\s|copyright\b)|all rights reserved", re.I)
 
 
@@ -50,16 +54,20 @@ class Line:
     text: str
     links: int
     outside: bool
+    inner: bool  # outside, if only elements within the article or main element count
     root: int
     in_main: bool
+    box: int = 0  # the element around it
 
 
 @dataclass
 class _Open:
     name: str
     outside: bool
+    inner: bool
     root: int
     main: bool
+    box: int
 
 
 @dataclass
@@ -70,16 +78,17 @@ class _State:
     link_parts: list[str] = field(default_factory=list)
     in_link: bool = False
     roots: int = 0
+    boxes: int = 0
 
     def top(self) -> _Open:
-        return self.stack[-1] if self.stack else _Open("", False, 0, False)
+        return self.stack[-1] if self.stack else _Open("", False, False, 0, False, 0)
 
     def end_line(self) -> None:
         text = " ".join(entities.unescape("".join(self.parts)).split())
         if text:
             links = len(" ".join(entities.unescape("".join(self.link_parts)).split()))
             now = self.top()
-            self.lines.append(Line(text, links, now.outside, now.root, now.main))
+            self.lines.append(Line(text, links, now.outside, now.inner, now.root, now.main, now.box))
         self.parts, self.link_parts = [], []
 
     def add(self, text: str) -> None:
@@ -104,7 +113,7 @@ def _is_outside(name: str, attrs: str, within: _Open) -> bool:
         if key in ("class", "id"):
             for one in value.split():
                 words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one)))
-                bad = words & BAD_NAMES
+                bad = words & BAD_NAMES if name != "article" or one in BAD_NAMES else words & READERS
                 if bad and not (bad == {"header"} and (within.root or within.main or words & GOOD_NAMES)):
                     return True
     return False
@@ -141,12 +150,13 @@ def lines_of(page: str) -> list[Line]:
             s.in_link = False
         elif name != "p":
             now = s.top()
-            root, main = now.root, now.main or name == "main"
-            out = now.outside or _is_outside(name, attrs, now)
-            if name == "article" and not root and not out:
+            root, main, hint = now.root, now.main or name == "main", _is_outside(name, attrs, now)
+            begins = name == "main" and not now.main or name == "article" and not root and not hint
+            if name == "article" and begins:
                 s.roots += 1
                 root = s.roots
-            s.stack.append(_Open(name, out, root, main))
+            s.boxes += 1
+            s.stack.append(_Open(name, now.outside or hint, hint or (now.inner and not begins), root, main, now.box if name in FLOW else s.boxes))
     s.add(page[at:])
     s.end_line()
     return s.lines
@@ -157,8 +167,23 @@ def _rights(x: Line) -> bool:
     return not x.root and not x.in_main and bool(RIGHTS.search(x.text))
 
 
-def weights(lines: list[Line]) -> list[int]:
-    """Countable characters of each line."""
+def _settle(lines: list[Line]) -> None:
+    """Where an article or main element holds most of the text but stands in an element that looks like a menu or notice,
+    what is around it says nothing about its lines."""
+    free = sum(len(x.text) for x in lines if not x.outside)
+    held: dict[tuple, int] = {}
+    for x in lines:
+        if (x.root or x.in_main) and not x.inner:
+            held[x.root, x.in_main] = held.get((x.root, x.in_main), 0) + len(x.text)
+    if held and max(held.values()) > 2 * free:
+        best = max(held, key=held.get)
+        for x in lines:
+            if (x.root, x.in_main) == best:
+                x.outside = x.inner
+
+
+def weights(lines: list[Line]) -> tuple[list[int], list[int]]:
+    """Weight of each line as part of the main element (of the page if it has none), and of each other line."""
     base = [0 if x.outside or 2 * x.links > len(x.text) or _rights(x) else len(x.text) for x in lines]
     mass: dict[int, int] = {}
     for x, w in zip(lines, base):
@@ -166,23 +191,27 @@ def weights(lines: list[Line]) -> list[int]:
             mass[x.root] = mass.get(x.root, 0) + w
     if any(mass.values()):
         best = max(mass, key=lambda r: (mass[r], -r))
-        return [w if x.root == best else 0 for x, w in zip(lines, base)]
-    if any(w for x, w in zip(lines, base) if x.in_main):
-        return [w if x.in_main else 0 for x, w in zip(lines, base)]
-    return base
+        own = [x.root == best for x in lines]
+    elif any(w for x, w in zip(lines, base) if x.in_main):
+        own = [x.in_main for x in lines]
+    else:
+        return base, [0] * len(lines)
+    return [w if o else 0 for w, o in zip(base, own)], [0 if o else w // FAR for w, o in zip(base, own)]
 
 
-def surges(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Line ranges from a surge to its dive."""
-    n = len(weight)
+def window_sums(weight: list[int], window: int = WINDOW) -> list[int]:
+    """Sums over the window that begins at each line."""
     total = [0]
     for w in weight:
         total.append(total[-1] + w)
-    sums = [total[min(n, i + window)] - total[i] for i in range(n)]
-    most = max(sums, default=0)
-    if not most:
-        return []
-    need, out, i = min(surge, most / 2), [], 0
+    n = len(weight)
+    return [total[min(n, i + window)] - total[i] for i in range(n)]
+
+
+def surges(weight: list[int], need: float, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Line ranges from a surge to its dive."""
+    n, sums = len(weight), window_sums(weight, window)
+    out, i = [], 0
     while i < n:
         if not weight[i]:
             i += 1
@@ -199,14 +228,24 @@ def surges(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by newlines."""
     lines = lines_of(page or "")
-    weight = weights(lines)
-    kept = surges(weight)
-    if not kept:
+    _settle(lines)
+    near, far = weights(lines)
+    most = max(window_sums(near), default=0)
+    if not most:
         return ""
-    if not any(x.root or x.in_main for x, w in zip(lines, weight) if w):
-        kept = [max(kept, key=lambda r: sum(weight[r[0] : r[1]]))]
-    root = next((x.root for x, w in zip(lines, weight) if w), 0)
-    return "\n".join(x.text for i, j in kept for x, w in zip(lines[i:j], weight[i:j]) if w or not x.outside and x.root == root and not _rights(x))
+    need = min(SURGE, most / 2)
+    kept: set[int] = set()
+    for weight in (near, far):
+        parts = surges(weight, need)
+        rest = {x.box for i, j in parts for x, w in zip(lines[i:j], weight[i:j]) if w}
+        # lines that weigh nothing for their links stay where they stand in the text; so do lines of an element that is kept
+        kept |= {k for i, j in parts for k in range(i, j) if weight[k] or weight is near and _linked(lines[k], rest)}
+        kept |= {k for k, w in enumerate(weight) if w and lines[k].box in rest}
+    return "\n".join(lines[k].text for k in sorted(kept))
+
+
+def _linked(x: Line, boxes: set[int]) -> bool:
+    return not x.outside and not _rights(x) and x.box in boxes
 
 
 def _extract(batches):
