@@ -58,19 +58,25 @@ def test_batch_blocks(spark, monkeypatch):
     assert [found[i] for i in range(5)] == [brute(x, np.asarray(x[i]), 3, Metric.L2) for i in range(5)]
 
 
-def test_line_of_points_with_filters(spark):
-    df = frame(spark, [(i, 0) for i in range(16)], lambda i: {"cat": i % 4})
-    ids = lambda f: [r["vector_id"] for r in search.knn(df, [0, 0], 16, "l2", f).collect()]
-    assert ids({"Or": [{"Eq": {"key": "cat", "value": 1}}, {"Eq": {"key": "cat", "value": 3}}]}) == list(range(2, 17, 2))
-    assert ids({"In": {"key": "cat", "values": [0, 2]}}) == list(range(1, 17, 2))
-    assert ids({"Range": {"key": "cat", "min": 1, "max": 2}}) == [2, 3, 6, 7, 10, 11, 14, 15]
-
-
-def test_selective_scan(spark):
-    df = frame(spark, [(i, 0) for i in range(12)], lambda i: {"cat": i % 3, "parity": i % 2})
-    found = {"And": [{"Eq": {"key": "cat", "value": 1}}, {"Eq": {"key": "parity", "value": 0}}]}
-    assert [r["vector_id"] for r in search.selective_scan(df, [0, 0], 5, found).collect()] == [5, 11]
+def test_filters_by_distance_order(spark):
+    df = frame(spark, [(0, -3 * i) for i in range(14)], lambda i: {"tint": "rgbw"[i * 3 % 4], "size": i // 3})
+    ids = lambda f: [r["vector_id"] for r in search.knn(df, [0, 0], 14, "l2", f).collect()]
+    tint = lambda x: {"Eq": {"key": "tint", "value": x}}
+    want = lambda test: [i + 1 for i in range(14) if test("rgbw"[i * 3 % 4], i // 3)]
+    assert ids({"Or": [tint("g"), tint("w")]}) == want(lambda t, s: t in "gw")
+    assert ids({"In": {"key": "size", "values": [4, 0, "r"]}}) == want(lambda t, s: s in (0, 4))
+    assert ids({"And": [{"Range": {"key": "size", "min": 1, "max": 3}}, tint("b")]}) == want(lambda t, s: 1 <= s <= 3 and t == "b")
+
+
+def test_selective_scan(spark, monkeypatch):
+    df = frame(spark, [(2 * i, 1) for i in range(18)], lambda i: {"deck": i % 4, "paid": i % 3 == 0})
+    found = {"And": [{"Eq": {"key": "deck", "value": 2}}, {"Eq": {"key": "paid", "value": True}}]}
+    want = [i + 1 for i in range(18) if i % 4 == 2 and i % 3 == 0]
+    assert [r["vector_id"] for r in search.selective_scan(df, [0, 0], 5, found).collect()] == want
     assert search.selective_scan(df, [0, 0], 5, {"Or": []}) is None
+    monkeypatch.setattr(search, "SELECTIVE", 0)
+    assert search.selective_scan(df, [0, 0], 5, found) is None
+    assert [r["vector_id"] for r in search.search_filtered(df, [0, 0], 5, found).collect()] == want
 
 
 def test_empty_collection_is_an_error(spark):
@@ -79,13 +85,13 @@ def test_empty_collection_is_an_error(spark):
 
 
 def test_sq8(spark, tmp_path):
-    df = frame(spark, [[-2, 10, 4.5], [3, 20, 4.5]])
+    df = frame(spark, [[-7, 0.5, 31], [9, 64, 31]])
     index = sq8.Sq8Index.build(df, "l2")
     assert {r["vector_id"]: r["codes"] for r in index.codes.collect()} == {1: [0, 0, 0], 2: [255, 255, 0]}
     assert len(index) == 2 and index.dimension == 3
     index.save(str(tmp_path / "sq8"))
     back = sq8.Sq8Index.load(spark, str(tmp_path / "sq8"))
-    assert [r["vector_id"] for r in back.search([3, 20, 4.5], 1).collect()] == [2]
+    assert [r["vector_id"] for r in back.search([9, 64, 31], 1).collect()] == [2]
     spark.createDataFrame([(9, [1, 2, 999])], "vector_id long, codes array<smallint>").write.mode("append").parquet(str(tmp_path / "sq8/codes"))
     with pytest.raises(InvalidFormat):
         sq8.Sq8Index.load(spark, str(tmp_path / "sq8"))
@@ -98,16 +104,19 @@ def test_sq8_recall(spark):
     assert got > 0.95
 
 
-def test_kmeans_blobs():
+def test_kmeans_separates_clusters():
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.uniform(-0.1, 0.1, (40, 2)) + c for c in ((0, 0), (10, 10), (20, 0))])
-    centroids, label = kmeans.fit(x, 3)
-    assert len({tuple(label[i * 40 : i * 40 + 40]) for i in range(3)}) == 3
+    heart = np.array([[-6, 1, 2], [3, 9, -4], [8, -7, 0], [0, -1, 11]])
+    sizes = [25, 31, 18, 40]
+    x = np.concatenate([rng.normal(c, 0.2, (n, 3)) for c, n in zip(heart, sizes)])
+    centroids, label = kmeans.fit(x, 4)
+    cuts = np.cumsum([0, *sizes])
+    assert sorted(len(set(label[a:b].tolist())) for a, b in zip(cuts, cuts[1:])) == [1] * 4 and len(set(label.tolist())) == 4
     assert (label == kmeans.assign(x, centroids.astype(float))[0]).all()
     assert np.allclose(kmeans.fit(x, 1)[0][0], x.mean(axis=0), atol=1e-5)
-    assert len(kmeans.fit(x[:2], 9)[0]) == 2
+    assert len(kmeans.fit(x[:3], 5)[0]) == 3
     with pytest.raises(InvalidInput):
-        kmeans.fit(np.array([[np.nan]]), 1)
+        kmeans.fit(np.array([[np.inf]]), 1)
 
 
 def test_pq_and_ivfpq(spark, tmp_path):
@@ -153,15 +162,20 @@ def test_graph_recall_filter_and_snapshot(spark, tmp_path):
 
 
 def test_graph_crosses_rows_that_do_not_match():
-    x = np.array([[0.01 * i, 0] for i in range(200)] + [[100 + i, 0] for i in range(3)])
-    g = graph.Graph(x, np.arange(1, 204), graph.GraphConfig(m=4, ef_construction=32), Metric.L2).build()
-    ids, _ = g.search(np.array([100.4, 0]), 3, 16, np.arange(203) >= 200)
-    assert ids.tolist() == [201, 202, 203]
+    """The rows that match lie at the far end of a spiral of others."""
+    turn = np.linspace(0, 9, 160)
+    x = np.concatenate([np.stack([turn * np.cos(turn), turn * np.sin(turn), turn * 0], axis=1), [[-30, 4, 1], [-31, 4, 2], [-32, 5, 1], [-33, 5, 2]]])
+    g = graph.Graph(x, np.arange(500, 664), graph.GraphConfig(m=5, ef_construction=40), Metric.L2).build()
+    ids, d = g.search(np.array([-31.2, 4.1, 1.5]), 4, 12, np.arange(164) >= 160)
+    assert sorted(ids.tolist()) == [660, 661, 662, 663] and (np.diff(d) >= 0).all()
 
 
 def test_graph_selects_diverse_neighbours():
-    g = graph.Graph(np.array([[1.0], [1.1], [-2.0]]), np.arange(3), graph.GraphConfig(), Metric.L2)
-    assert [n for _, n in g._diverse([(1.0, 0), (1.21, 1), (4.0, 2)], 2)] == [0, 2]
+    """Of three beside each other one is taken, then the one on the other side."""
+    x = np.array([[5.0, 0.0], [5.2, 0.3], [5.1, -0.4], [-7.0, 0.0]])
+    g = graph.Graph(x, np.arange(4), graph.GraphConfig(), Metric.L2)
+    ranked = sorted((float((v * v).sum()), i) for i, v in enumerate(x))
+    assert [n for _, n in g._diverse(ranked, 2)] == [0, 3]
 
 
 def test_newer_and_deleted_rows(spark):

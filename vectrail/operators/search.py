@@ -7,14 +7,17 @@ what is broadcast): every task keeps its k nearest for each query, and only thos
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions.distance import compute_distance, vector_literal
 from vectrail.functions.filters import conjunction, parse, search_filter
 from vectrail.functions.validate import check_search, check_vector
-from vectrail.operators.kernels import TopK, matrix
+from vectrail.operators.kernels import TopK, exact, matrix
 from vectrail.operators.postings import intersect, postings
 from vectrail.types import EmptyIndex, InvalidInput, Metric
 
@@ -31,7 +34,7 @@ def knn(vectors: DataFrame, query, k: int, metric: Metric | str = Metric.L2, fou
     return near.orderBy("distance", "vector_id").limit(k)
 
 
-def _blocks(queries: DataFrame, dimension: int):
+def query_blocks(queries: DataFrame, dimension: int):
     """Query rows in blocks whose vectors fill at most BLOCK_FLOATS numbers."""
     size, block = max(1, BLOCK_FLOATS // max(1, dimension)), []
     for row in queries.toLocalIterator(prefetchPartitions=True):
@@ -75,7 +78,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int | None = None, metr
         first = queries.select(F.size("q")).first()
         dimension = first[0] if first else 1
     most = 0
-    for block in _blocks(queries.select(*columns), dimension):
+    for block in query_blocks(queries.select(*columns), dimension):
         ks = sorted({r["k"] for r in block})
         filters = sorted({r["f"] for r in block if r["f"] is not None})
         most = max([most, *ks])
@@ -99,16 +102,47 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int | None = None, metr
     return hits.select("q_id", "rank", "vector_id", "distance")
 
 
-def selective_scan(vectors: DataFrame, query, k: int, found: dict | str, metric: Metric | str = Metric.L2, index: DataFrame | None = None) -> DataFrame | None:
-    """Exact top-k over the rows that an Eq or an And of Eq names by its postings; None if the filter is another or
-    names more than SELECTIVE rows."""
+def all_distances(vectors: DataFrame, queries: DataFrame, metric: Metric | str = Metric.L2) -> DataFrame:
+    """(q_id, vector_id, distance) of every query (q_id, q) with every row, by blocks of queries."""
+    metric, spark = Metric.parse(metric), vectors.sparkSession
+    first = queries.select(F.size("q")).first()
+
+    def near(block) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(r["q_id"], np.array(r["q"], float)) for r in block])
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column(1))
+                    for q_id, q in shared.value:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), q_id)), batch.column(0), pa.array(exact(q, x, metric))], names=["q_id", "vector_id", "distance"])
+
+        return vectors.select("vector_id", "vector").mapInArrow(run, PARTIAL)
+
+    parts = [near(block) for block in query_blocks(queries.select("q_id", F.col("q").cast("array<double>").alias("q")), first[0] if first else 1)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PARTIAL)
+
+
+def selective_ids(vectors: DataFrame, found: dict | str, index: DataFrame | None = None) -> DataFrame | None:
+    """The ids that an Eq or an And of Eq names by its postings; None if the filter is another or names over SELECTIVE rows."""
     clauses = conjunction(parse(found))
     if not clauses:
         return None
     ids = intersect(postings(vectors) if index is None else index, clauses)
-    if ids.limit(SELECTIVE + 1).count() > SELECTIVE:
-        return None
-    return knn(vectors.join(F.broadcast(ids), "vector_id", "left_semi"), query, k, metric)
+    return ids if ids.limit(SELECTIVE + 1).count() <= SELECTIVE else None
+
+
+def search_filtered(vectors: DataFrame, query, k: int, found: dict | str, metric: Metric | str = Metric.L2, index: DataFrame | None = None) -> DataFrame:
+    """Exact top-k under any filter: through postings where `selective_scan` applies, else by a scan of all rows."""
+    near = selective_scan(vectors, query, k, found, metric, index)
+    return knn(vectors, query, k, metric, found) if near is None else near
+
+
+def selective_scan(vectors: DataFrame, query, k: int, found: dict | str, metric: Metric | str = Metric.L2, index: DataFrame | None = None) -> DataFrame | None:
+    """Exact top-k over the rows that an Eq or an And of Eq names by its postings; None if the filter is another or
+    names more than SELECTIVE rows."""
+    ids = selective_ids(vectors, found, index)
+    return None if ids is None else knn(vectors.join(F.broadcast(ids), "vector_id", "left_semi"), query, k, metric)
 
 
 def search(vectors: DataFrame, query, k: int, metric: Metric | str = Metric.L2, found: dict | str | None = None, dimension: int | None = None) -> DataFrame:

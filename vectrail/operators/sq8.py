@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions.validate import check_search, check_vector
 from vectrail.operators.kernels import TopK, matrix
-from vectrail.operators.search import PARTIAL
+from vectrail.operators.search import PARTIAL, query_blocks
 from vectrail.types import EmptyIndex, InvalidFormat, InvalidInput, Metric
 
 FLOAT_MAX = float(np.finfo(np.float32).max)
@@ -83,22 +84,26 @@ class Sq8Index:
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(q_id, rank, vector_id, distance) of queries (q_id, q), by decoded vectors."""
-        rows = queries.select("q_id", F.col("q").cast("array<double>").alias("q")).collect()
         mins = np.array([r["mn"] for r in sorted(self.calibration, key=lambda r: r["dim"])], np.float64)
         scales = np.array([r["scale"] for r in sorted(self.calibration, key=lambda r: r["dim"])], np.float64)
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r["q_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], float).reshape(len(rows), -1), mins, scales))
-        metric = self.metric
+        metric, spark = self.metric, queries.sparkSession
 
-        def run(batches):
-            q_ids, q, mins, scales = shared.value
-            top = TopK(q, k, metric)
-            for batch in batches:
-                if batch.num_rows:
-                    top.see(batch.column(0).to_numpy(), np.clip(mins + matrix(batch.column(1)) * scales, -FLOAT_MAX, FLOAT_MAX))
-            yield top.rows(q_ids)
+        def near(rows) -> DataFrame:
+            shared = spark.sparkContext.broadcast((np.array([r["q_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], float).reshape(len(rows), -1), mins, scales))
+
+            def run(batches):
+                q_ids, q, mins, scales = shared.value
+                top = TopK(q, k, metric)
+                for batch in batches:
+                    if batch.num_rows:
+                        top.see(batch.column(0).to_numpy(), np.clip(mins + matrix(batch.column(1)) * scales, -FLOAT_MAX, FLOAT_MAX))
+                yield top.rows(q_ids)
+
+            return self.codes.select("vector_id", "codes").mapInArrow(run, PARTIAL)
 
         order = Window.partitionBy("q_id").orderBy("distance", "vector_id")
-        hits = self.codes.select("vector_id", "codes").mapInArrow(run, PARTIAL)
+        parts = [near(block) for block in query_blocks(queries.select("q_id", F.col("q").cast("array<double>").alias("q")), self.dimension)]
+        hits = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PARTIAL)
         return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q_id", "rank", "vector_id", "distance")
 
     def search(self, query, k: int = 10) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrail.functions.metadata import canonical_key
 from vectrail.types import OP_LOG
@@ -23,9 +24,14 @@ def with_checksum(rows: DataFrame) -> DataFrame:
     return rows.withColumn("crc", checksum()).select(*OP_LOG.fieldNames())
 
 
+def first_bad(log: DataFrame) -> DataFrame:
+    """(bad): the least seq whose checksum fails or whose operation is unknown, null if there is none."""
+    return log.filter((F.col("crc") != checksum()) | ~F.col("op").isin(*OPS)).agg(F.min("seq").alias("bad"))
+
+
 def valid_prefix(log: DataFrame) -> DataFrame:
     """Rows before the first whose checksum fails; the first bad seq is one aggregate, not a sort."""
-    bad = log.filter((F.col("crc") != checksum()) | ~F.col("op").isin(*OPS)).agg(F.min("seq").alias("bad"))
+    bad = first_bad(log)
     return log.crossJoin(F.broadcast(bad)).filter(F.col("bad").isNull() | (F.col("seq") < F.col("bad"))).drop("bad")
 
 
@@ -50,6 +56,14 @@ def fold(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     return folded.select("vector_id", F.col("born.vector").alias("vector"), F.col("meta.m").alias("metadata"), "deleted")
 
 
+def state(log: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Live rows of a snapshot and the log since. Rows of the snapshot that no logged change names are passed on as they
+    are: only the log, and the rows that it changes, are folded. Ids are never used twice, so inserts name no old row."""
+    changed = log.filter(F.col("op").isin(UPDATE_META, CLEAR_META, DELETE)).select("vector_id").distinct()
+    same = snapshot.join(changed, "vector_id", "left_anti")
+    return same.unionByName(live(fold(log, snapshot.join(changed, "vector_id", "left_semi"))))
+
+
 def live(folded: DataFrame) -> DataFrame:
     return folded.filter("not deleted and vector is not null").select("vector_id", "vector", "metadata")
 
@@ -71,10 +85,12 @@ def checkpoint_log(log: DataFrame) -> DataFrame:
 
 
 def assign_ids(batch: DataFrame, order: str, start: int) -> DataFrame:
-    """Contiguous ids after `start` in order of a column, without sorting the batch in one task: rows are numbered inside
-    range partitions, and the partitions' sizes summed up."""
-    parts = batch.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    numbered = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    """Contiguous ids after `start` in order of a column, ties by the rows' contents, without sorting the batch in one task:
+    rows are numbered inside a fixed number of range partitions, and the partitions' sizes summed up."""
+    tie = F.xxhash64(*(F.to_json(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in batch.schema.fields))
+    count = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = batch.withColumn("__tie", tie).repartitionByRange(count, order, "__tie").withColumn("__part", F.spark_partition_id())
+    numbered = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order, "__tie"))).drop("__tie")
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
     return numbered.join(F.broadcast(before), "__part").withColumn("vector_id", F.lit(start).cast("long") + F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
