@@ -6,13 +6,15 @@ neighbours, which parts its neighbours are likely to be in. Every row is indexed
 goes to its most probable parts and their rows are reranked by the exact cosine. How many parts a query visits is
 measured on the sample: the least number that finds `recall` (0.97) of the true neighbours there.
 
-A part is a number of blocks of about `BLOCK_ROWS` rows, by a hash of the id, so a part that holds a third of all rows
-(one vector that many rows share, say) is spread over as many tasks as its size asks for; a block's task sees its rows
-once and streams the queries past them. Each block returns a query's best few, and the best of those are kept.
+There are as many parts as `PART_ROWS` rows fill, as far as the sample can tell parts apart (a part for each 32 of its
+rows, at most 256). A part is a number of blocks of about `BLOCK_ROWS` rows, by a hash of the id, so a part that holds a
+third of all rows (one vector that many rows share, say) is spread over as many tasks as its size asks for; a block's
+task sees its rows once and streams the queries past them, and a query is sent once for each block of the parts it visits. Each block returns a query's best few, and the best of those are kept.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have not the most common number of
 components, take no part, nor do rows with a null id; of rows with one id the least vector counts; fewer candidates than
-k give fewer rows; ties go to the smaller id; an empty table gives an empty result.
+k give fewer rows; ties go to the smaller id; an empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import as_long, read_table, shuffle_parts
+from vectrail.llm.common import as_long, checkpoint, read_table, shuffle_parts
 
-BLOCK_ROWS = 4096
+PART_ROWS = 4096
+BLOCK_ROWS = 65_536
+SCORES = 1 << 22  # of queries with a block's rows that are held at once
 SLACK = 1e-9
 
 
@@ -202,9 +206,10 @@ def _rerank(k: int):
                 own, x, u, norm = held
                 q_ids, q = part.column(2).slice(n).to_numpy(), _matrix(part.column(3).slice(n))
                 out: list[tuple] = []
-                for i in range(0, len(q), 256):
-                    s = unit(q[i : i + 256]) @ u.T
-                    s[q_ids[i : i + 256, None] == own[None, :]] = -np.inf
+                step = max(1, SCORES // len(own))
+                for i in range(0, len(q), step):
+                    s = unit(q[i : i + step]) @ u.T
+                    s[q_ids[i : i + step, None] == own[None, :]] = -np.inf
                     top = min(k, s.shape[1])
                     cut = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top] - SLACK
                     for j in range(len(s)):
@@ -225,10 +230,11 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, where: str |
     them. `parts` and `probes` follow from the number of rows and the sample where they aren't given.
     """
     spark = vectors.sparkSession
+    vectors = checkpoint(vectors)  # read by five jobs
     total = vectors.count()
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     x = unit(np.array(picked.v.tolist(), float)) if len(picked) else np.zeros((0, 1))
-    router = fit(x, parts or max(2, min(256, sample_rows // 32, total // BLOCK_ROWS + 2)), recall=recall)
+    router = fit(x, parts or max(2, min(256, sample_rows // 32, total // PART_ROWS + 2)), recall=recall)
     shared = spark.sparkContext.broadcast(router)
     schema = "vec_id long, v array<double>, parts array<int>"
     rows = vectors.mapInArrow(_routed(shared, 1), schema).select("vec_id", "v", F.col("parts")[0].alias("part"))
