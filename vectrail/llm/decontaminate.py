@@ -6,8 +6,8 @@ scanned in whole, each once for every block of the benchmark; nothing is shuffle
 compared word by word.
 
 The broadcast holds at most `block_words` benchmark words (default 2,000,000, some 100 MB in a Python worker). A
-larger benchmark is cut into several such blocks: each is one more scan over the documents, and what the scans
-find is united on the rows of a document, so the result is the same.
+larger benchmark is cut into several such blocks: each is one more job over the documents, whose rows are kept in the
+shared folder for the next, and what the jobs find is united on the rows of a document, so the result is the same.
 
 Defined cases: a null or empty text has no words and is clean; an item with a null or empty text, or without words,
 has no window; items with a null id take part under the id string "null"; repeated items count once by id; repeated
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import binary_parts, fresh, slices, with_schema
+from vectrail.llm.common import binary_parts, checkpoint, fresh, slices, with_schema
 
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,8 +146,14 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, *, text: str = "tex
     spark, name, out = documents.sparkSession, fresh(documents, "found"), documents
     at = documents.columns.index(text)
     schema = with_schema(documents, **{name: FOUND})
-    for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
-        out = out.mapInArrow(_scan(at, spark.sparkContext.broadcast(Index(block, n)), k > 0, name), schema)
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block, k = next(blocks), 0
+    while block is not None:
+        out = out.mapInArrow(_scan(at, shared := spark.sparkContext.broadcast(Index(block, n)), k > 0, name), schema)
+        block, k = next(blocks, None), k + 1
+        if block is not None:  # a job for each block, so that one block is in the workers at a time
+            out = checkpoint(out)
+            shared.destroy()
     return out, name
 
 
