@@ -1,6 +1,6 @@
 """Tool calls of conversations, linked to their results, ordered, validated and serialised; DataFrame operations only.
 
-Calls and results meet in one hash join on (conv_id, call_id). Identifiers spread a long conversation over all tasks,
+Calls and results meet in a shuffled hash join on (conv_id, call_id), whose build side is the results by identifier. Identifiers spread a long conversation over all tasks,
 and nothing is gathered by conversation: the topological order is given as a key, (order_turn, order_step), by which any
 sort or range partitioning puts every call after all it depends on. order_turn is the latest turn of a call and all that
 it depends on, order_step its place among those of that turn. A conversation whose calls only refer to earlier turns has
@@ -19,8 +19,10 @@ the exchange before it, and an assistant turn is the result of the turn before i
 Defined cases: rows with a null conv_id or turn have no identifier and are left out; a null text makes a call without
 prompt (invalid) or an empty result (null); a call without result is "unanswered", a result without call an "orphan"; of
 calls with one identifier the first (turn, name, arguments) stands with the error "repeated call"; of several results the
-first stands, and n_results counts them; arguments that are no JSON object have the error "arguments"; dependencies on
-unknown calls have the error "unknown dependency" and are ignored in the order.
+first stands, and n_results counts them; a call without an identifier gets "?turn.place" and the error "no identifier",
+and a tool message that names no call is the orphan "?turn"; arguments that are no JSON object have the error "arguments"; dependencies on
+unknown calls have the error "unknown dependency" and are ignored in the order; long texts are passed on whole; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from vectrail.llm.common import as_long, checkpoint, read_table
 
 ANSWER = {"answer": {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 400}}, "required": ["prompt"], "additionalProperties": False}}
 KEY = ["conv_id", "call_id"]
+UNNAMED = r"^\?-?\d+\.\d+$"
 
 
 def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,17 +48,17 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
     rows = rows.withColumns({"calls": F.when(F.col("role") == "assistant", get(F.col("v"), "$.tool_calls", "array<variant>")), "answers": F.when(F.col("role") == "tool", get(F.col("v"), "$.tool_call_id", "string"))})
     plain = rows.filter("calls is null and answers is null")
-    told = rows.filter("calls is not null").select("conv_id", "turn", F.explode("calls").alias("c"))
+    told = rows.filter("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("place", "c"))
     c = F.col("c")
     inner = F.coalesce(get(c, "$.function.arguments", "variant"), get(c, "$.arguments", "variant"))
     told = told.select(
         "conv_id",
-        get(c, "$.id", "string").alias("call_id"),
+        F.coalesce(get(c, "$.id", "string"), F.concat(F.lit("?"), F.col("turn").cast("string"), F.lit("."), F.col("place").cast("string"))).alias("call_id"),
         "turn",
         F.coalesce(get(c, "$.function.name", "string"), get(c, "$.name", "string")).alias("name"),
         F.when(F.schema_of_variant(inner) == "STRING", F.variant_get(inner, "$", "string")).otherwise(F.to_json(inner)).alias("arguments"),
         F.coalesce(get(c, "$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("depends_on"),
-    ).filter("call_id is not null")
+    )
     ident = lambda turn: F.concat(F.lit("turn-"), turn.cast("string"))
     asked = plain.filter("role = 'user'").select(
         "conv_id",
@@ -67,7 +70,8 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     given = rows.filter("answers is not null").select("conv_id", F.col("answers").alias("call_id"), "turn", F.coalesce(get(F.col("v"), "$.content", "string"), F.to_json(get(F.col("v"), "$.content", "variant"))).alias("content"))
     said = plain.filter("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return told.unionByName(asked), given.unionByName(said)
+    lost = plain.filter("role = 'tool'").select("conv_id", F.concat(F.lit("?"), F.col("turn").cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+    return told.unionByName(asked), given.unionByName(said).unionByName(lost)
 
 
 def _one_of(kind: Column, wanted: str) -> Column:
@@ -134,7 +138,7 @@ def topological_keys(calls: DataFrame) -> DataFrame:
     nodes = calls.select("conv_id", "call_id", "turn")
     edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("depends_on")).alias("dep"))
     target = nodes.select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"))
-    edges = edges.join(target, ["conv_id", "dep"], "left")
+    edges = edges.join(target.hint("shuffle_hash"), ["conv_id", "dep"], "left")
     missing = edges.filter("dep_turn is null").select(*KEY).distinct().withColumn("missing", F.lit(True))
     edges = edges.filter("dep_turn is not null")
     back = edges.filter("dep_turn >= turn")
@@ -171,10 +175,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     one = calls.groupBy(*KEY).agg(first, F.count("*").alias("n_calls")).select(*KEY, "first.*", "n_calls")
     got = results.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     got = got.select(*KEY, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
-    both = one.join(topological_keys(one), KEY).join(got, KEY, "full_outer")
+    both = one.join(topological_keys(one).hint("shuffle_hash"), KEY).join(got.hint("shuffle_hash"), KEY, "full_outer")
     is_call = F.col("turn").isNotNull()
     both = both.withColumn("args", F.try_parse_json("arguments"))
-    more = [F.when(F.col("n_calls") > 1, F.lit("repeated call")), F.when(F.col("missing"), F.lit("unknown dependency")), F.when(F.col("order_turn").isNull(), F.lit("cycle"))]
+    more = [F.when(F.col("call_id").rlike(UNNAMED), F.lit("no identifier")), F.when(F.col("n_calls") > 1, F.lit("repeated call")), F.when(F.col("missing"), F.lit("unknown dependency")), F.when(F.col("order_turn").isNull(), F.lit("cycle"))]
     errors = F.when(is_call, F.array_sort(F.concat(errors_of(F.col("name"), F.col("args"), schemas), F.array_compact(F.array(*more))))).otherwise(F.array(F.lit("no call")))
     both = both.withColumn("errs", errors)
     status = F.when(~is_call, "orphan").when(F.col("result_turn").isNull(), "unanswered").otherwise("linked")
