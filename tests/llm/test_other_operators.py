@@ -92,6 +92,51 @@ def answer(turn, ident, content):
     return (1, turn, "tool", json.dumps({"tool_call_id": ident, "content": content}))
 
 
+def brute_surges(weight, need, window=3):
+    """Lines from a surge to its dive, line by line: joined are lines with no empty window between them."""
+    n = len(weight)
+    sums = [sum(weight[i : i + window]) for i in range(n)]
+    runs, now = [], []
+    for i in range(n):
+        if not now and not weight[i]:
+            continue
+        if sums[i]:
+            now.append(i)
+        elif now:
+            runs.append(now)
+            now = []
+    runs += [now] * bool(now)
+    return [(r[0], r[-1] + 1) for r in runs if max(sums[i] for i in r) >= need]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_surges_equal_a_brute_force_scan(seed):
+    rng = np.random.default_rng(seed)
+    weight = [int(w) for w in rng.integers(0, 120, 200) * (rng.random(200) < 0.4)]
+    assert extract.surges(weight, 86) == brute_surges(weight, 86)
+    assert extract.window_sums(weight) == [sum(weight[i : i + 3]) for i in range(200)]
+
+
+def test_the_distribution_decides():
+    """Without hints short stray lines go and every surge stays; with an article the text around it must outweigh it."""
+    long = "many words of the article stand here, one after the other, in a line that is long enough"
+    menu = "".join(f"<div>{w}</div>" for w in ("Home", "News", "Shop"))
+    split = "<ul class='ad'><li>a</li><li>b</li><li>c</li><li>d</li></ul>"
+    page = f"<div>{menu}</div>{split}<div><p>{long} 1</p><p>{long} 2</p>{split}<p>The end.</p></div>{split}<div>Contact</div>"
+    assert extract.main_text(page) == f"{long} 1\n{long} 2\nThe end."
+    two = f"<div><p>{long} 1</p></div>{split}<section><p>{long} 2</p></section>"
+    assert extract.main_text(two) == f"{long} 1\n{long} 2"
+    assert extract.main_text(f"<div>Tip of the day</div><article class='post category-legal'><p>{long}</p><p>Bye.</p></article>") == f"{long}\nBye."
+    assert extract.main_text(f"<div class='with-sidebar'><main><p>{long}</p></main></div>") == long
+    assert extract.main_text(f"<article><p>{long}</p></article><article class='comment'><p>{long * 9}</p></article>") == long
+    near, far = extract.weights(extract.lines_of(f"<p>stray text</p><article><p>{long}</p></article>"))
+    assert near == [0, len(long)] and far == [len("stray text") // extract.FAR, 0]
+
+
+def test_empty_table_of_pages(spark):
+    assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_tool_calls(spark):
     got = linked(
         spark,
@@ -117,6 +162,53 @@ def test_tool_calls(spark):
     assert got["x"]["order_turn"] is None and got["y"]["errors"] == "cycle"
 
 
+def test_calls_without_identifier_and_unreadable_results(spark):
+    rows = [
+        (1, 0, "assistant", '{"tool_calls": [{"name": "add", "arguments": {"a": 1}}, {"id": "k", "name": "add", "arguments": {"a": 2}}]}', "z", 9),
+        (1, 1, "tool", "not json", "z", 9),
+        (1, 2, "tool", '{"content": "no id"}', "z", 9),
+        (1, 3, "tool", None, "z", 9),
+        (1, 4, "tool", json.dumps({"tool_call_id": "k", "content": "x" * 300_000}), "z", 9),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id string, errors long")
+    calls, results = toolcalls.messages(table)
+    got = {r["call_id"]: r for r in toolcalls.link(calls, results, SCHEMAS).collect()}
+    assert got["?0.0"]["status"] == "unanswered" and "no identifier" in got["?0.0"]["errors"]
+    assert {got[f"?{t}"]["status"] for t in (1, 2, 3)} == {"orphan"}
+    assert got["k"]["status"] == "linked" and len(json.loads(got["k"]["json"])["result"]) == 300_000
+    calls, results = toolcalls.messages(table.limit(0))
+    assert toolcalls.link(calls, results, SCHEMAS).count() == 0
+
+
+def _kahn(calls):
+    """order_turn and order_step by the definition, for calls {id: (turn, deps)}."""
+    done: dict = {}
+    while True:
+        ready = [i for i, (_, deps) in calls.items() if i not in done and all(d in done for d in deps if d in calls)]
+        if not ready:
+            return done
+        for i in ready:
+            turn, deps = calls[i]
+            done[i] = max([(turn, 0), *((done[d][0], done[d][1] + 1) for d in deps if d in calls)])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_equals_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    calls = {f"c{i}": (int(rng.integers(0, 6)), [f"c{j}" for j in rng.integers(0, 16, rng.integers(0, 3)).tolist() if j != i]) for i in range(14)}
+    table = spark.createDataFrame([(7, i, t, d) for i, (t, d) in calls.items()], "conv_id long, call_id string, turn long, depends_on array<string>")
+    got = {r["call_id"]: r for r in toolcalls.topological_keys(table).collect()}
+    want = _kahn(calls)
+    back = any(calls[d][0] >= t for t, deps in calls.values() for d in deps if d in calls)
+    assert back and {i: (r["order_turn"], r["order_step"]) for i, r in got.items() if r["order_turn"] is not None} == want
+    assert {i for i, r in got.items() if r["missing"]} == {i for i, (_, deps) in calls.items() if any(d not in calls for d in deps)}
+
+
+def test_calls_and_results_meet_in_a_hash_join(spark, sf_dir):
+    plan = toolcalls.op8_tool_call_linking(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_plain_conversations(spark):
     calls, results = toolcalls.messages(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (2, 5, "assistant", "?"), (1, 0, "user", "hi")], "conv_id long, turn long, role string, text string"))
     got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link(calls, results, toolcalls.ANSWER).collect()}
@@ -134,6 +226,29 @@ def test_conversations_equal_their_sql(spark, sf_dir):
     assert rows == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls, copies, a null id, columns with names that the stages use, and an empty table."""
+    import corpus_pipeline
+
+    say = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, None, 1), (2, "", 2), (3, say, 3), (None, say + " again", 4), (4, say, 5), (5, "other words " * 9, 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, bucket long").selectExpr("doc_id", "text", "'en' lang", "bucket", "bucket score", "'x' found", "length(text) n_chars")
+    labels = spark.createDataFrame([(3, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "other words other words")], "item_id long, text string")
+    for n, docs in enumerate((table, table.limit(0))):
+        where = str(tmp_path / f"t{n}")
+        docs.write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        bench.write.parquet(f"{where}/benchmark.parquet")
+        now = spark.read.parquet(f"{where}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, where)
+            assert now.columns == table.columns
+        kept = {r["doc_id"] for r in now.collect()}
+        assert kept == ({1, 3} if not n else set())  # 2 is a copy of 1, 4 and the null id of 3, and 5 is of the benchmark
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, where).collect()} == kept
+
+
 def test_pipeline_equals_its_stages(spark, sf_dir):
     import corpus_pipeline
     from vectrail.llm import decontaminate, simhash, suffix, toxicity

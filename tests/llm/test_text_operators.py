@@ -388,6 +388,45 @@ def test_toxicity(spark, nothing):
     assert toxicity.drop_toxic(docs.limit(0), known).count() == 0
 
 
+def test_kneser_ney_equals_its_definition(spark):
+    """Log ratios of the interpolated probabilities, from counts by hand: class counts on top, shared continuation counts below."""
+    toxic, plain, order, d = ["bad badly", "sad bad"], ["good sad", "a bag goods"], 4, 0.75
+    rows = [(i, t, y) for i, (t, y) in enumerate([(t, 1) for t in toxic] + [(t, 0) for t in plain])]
+    own = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 in (0, 3)]
+    rows = [(own[i], t, y) for i, t, y in rows]
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    grams = lambda w: [x[i : i + order] for x in [(" " + w + " ").ljust(order)] for i in range(len(x) - order + 1)]
+    counts = [{}, {}]
+    for _, t, y in rows:
+        for w in t.split():
+            for g in grams(w):
+                counts[y][g] = counts[y].get(g, 0) + 1
+    kinds = {order: set(counts[0]) | set(counts[1])}
+    cont: dict[int, dict] = {}
+    for m in range(order - 1, 0, -1):  # of how many longer ones each is the end
+        cont[m] = {}
+        for g in kinds[m + 1]:
+            cont[m][g[1:]] = cont[m].get(g[1:], 0) + 1
+        kinds[m] = set(cont[m])
+
+    def lower(g):
+        m = len(g)
+        if not m:
+            return 1 / 256
+        row = {x: n for x, n in cont[m].items() if x[:-1] == g[:-1]}
+        total = sum(row.values())
+        return (max(row.get(g, 0) - d, 0) + d * len(row) * lower(g[1:])) / total if total else lower(g[1:])
+
+    def p(y, g):
+        row = {x: n for x, n in counts[y].items() if x[:-1] == g[:-1]}
+        total = sum(row.values())
+        return (max(row.get(g, 0) - d, 0) + d * len(row) * lower(g[1:])) / total if total else lower(g[1:])
+
+    words = ["bad", "goods", "sad", "bags", "sab", "baz"]
+    want = [sum(np.log(p(1, g) / p(0, g)) for g in grams(w)) for w in words]
+    assert np.allclose(model.word_ratios([w.encode() for w in words]), want)
+
+
 def test_toxicity_scores_with_every_ngram(spark):
     """More n-grams than one block of 2**20 holds, and blocks of any size give the same scores."""
     rng = np.random.default_rng(3)
@@ -421,6 +460,34 @@ def test_toxicity_counts_all_labelled_training_rows(spark):
         assert (np.sort(np.concatenate([b.value[1] for b in model.blocks])) == want).all()
 
 
+def test_words_keep_their_numbers():
+    """Across slices, after forgetting, and for different words of one hash."""
+    from vectrail.llm import words as W
+
+    def slice_of(text):
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return chars, np.flatnonzero(np.concatenate([[True], chars[1:] == 32]))
+
+    known = W.Words()
+    first, new = known.numbers(*slice_of("ab cd ab efg cd"))
+    assert first.tolist()[0] != first.tolist()[2] and first[1] == first[4] and len(new) == 4  # " ab" is not "ab"
+    again, new = known.numbers(*slice_of("ab cd hi ab"))
+    assert again[0] == first[0] and again[1] == first[1] and again[3] == first[2] and len(new) == 1
+    kept = known.shrink(10)
+    assert set(kept.tolist()) == {first[0], first[1], first[2]}
+    after, new = known.numbers(*slice_of("ab efg cd"))
+    assert len(new) == 1 and kept[after[0]] == first[0] and kept[after[2]] == first[1]
+    hashes, W.word_hashes = W.word_hashes, lambda chars, starts, sizes: np.full(len(starts), 7, np.uint64)
+    try:
+        same = W.Words()
+        one, _ = same.numbers(*slice_of("ab cd efg cd"))
+        two, _ = same.numbers(*slice_of("xy cd"))
+        spell = lambda n: "".join(map(chr, same.chars.all[same.ends.all[n] : same.ends.all[n + 1]]))
+        assert [spell(n) for n in one] == ["ab", " cd", " efg", " cd"] and [spell(n) for n in two] == ["xy", " cd"]
+    finally:
+        W.word_hashes = hashes
+
+
 def test_marks_reach_their_documents():
     k1, k2 = np.array([5, 5, 3, 5], np.int64), np.array([-9, -9, 7, 8], np.int64)
     batch = exchange.pack_marks(k1, k2, np.array([4, 1, 2, 0]), np.array([6, 3, 9, 1]), 1)
