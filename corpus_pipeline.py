@@ -4,6 +4,11 @@ texts, contaminated documents go, and what is left is segmented into pieces.
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. `run`
 writes each stage's rows to the shared folder and reads them back for the next, so that a lost executor costs tasks of
 one stage and no stage runs twice; a stage's rows are deleted once the next stage's are written. Where a text changes, n_chars follows it.
+
+Defined cases, for all stages: an empty table gives an empty result; documents with a null or empty text are clean and stay
+(of those without words one, as near copies of each other); a null doc_id is an id like any other and stands last among
+near copies; repeated rows are near copies; texts of any length are read whole; further columns, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,12 +21,14 @@ from vectrail.llm.common import delete_table, read_table, shared_table_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3; the models learn from the labelled ones among `docs`."""
+    """Documents that score under 0.3; the models learn from the labelled ones among `docs`. Without labels of both kinds
+    nothing is toxic."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked by SimHash at 4 bits over 4-word shingles."""
+    """One document (the smallest doc_id, then the least text hash) of each group linked by SimHash at 4 bits over 4-word
+    shingles."""
     return simhash.deduplicate(docs)
 
 
@@ -40,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every document, with their ids."""
+    """Three distinct sampled segmentations of every document, with their ids; fewer where a text has fewer."""
     import public_tokenizers
 
     return pieces.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
