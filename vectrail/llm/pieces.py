@@ -305,7 +305,7 @@ SLICE = 1 << 20
 NOISE = 38.0
 
 
-CHUNK = 192
+CHUNK = 384
 
 
 def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges: np.ndarray, k: int, ties) -> None:
