@@ -87,6 +87,7 @@ class Vocabulary:
             self.spelled[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
+        self.spelled = np.array(self.spelled, object)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each prefix hash; -1 for those of no piece."""
@@ -106,7 +107,7 @@ class Vocabulary:
             return mix(h * U64(0x9E3779B97F4A7C15) + c.astype(U64) + U64(1))
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.spelled.__getitem__, ids))[1:]
+        return b"".join(self.spelled[np.asarray(ids, np.int64)].tolist())[1:]
 
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode()
@@ -257,10 +258,11 @@ def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray,
     """Draw pieces from word places `at` to the words' ends: (which, place, slot), in order of which.
 
     barred: bit masks of the slots that the first piece of each may not have."""
-    which, live, pos, number = [], np.arange(len(at)), at, number.astype(U64) * U64(1 << 20)
+    live, pos, number = np.arange(len(at)), at, number.astype(U64) * U64(1 << 20)
     first, last, cum, size = (c.all for c in (lat.first, lat.last, lat.cum, lat.size))
-    got_at, got_slot, step = [], [], 0
+    steps, pieces = [], np.zeros(len(at), np.int64)
     while len(live):
+        step = len(steps)
         u = unit(seed, number + U64(step))
         own = first[pos]
         pick = np.zeros(len(pos), np.int64)
@@ -274,17 +276,17 @@ def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray,
             p[(barred[some] >> np.arange(len(p))[:, None]) & 1 == 1] = 0.0
             sums = np.cumsum(p, axis=0)
             pick[some] = np.minimum((u[some] * sums[-1] >= sums).sum(axis=0), len(p) - 1 - np.argmax((p > 0)[::-1], axis=0))
-        which.append(live)
-        got_at.append(pos)
-        got_slot.append(pick)
+        steps.append((live, pos, pick))
         length = size[own + pick]
         on = np.flatnonzero(length > 0)
+        pieces[live] += 1
         live, pos, seed, number = live[on], pos[on] + length[on], seed[on], number[on]
-        step += 1
-    which = np.concatenate(which) if which else np.zeros(0, np.int64)
-    order = np.argsort(which, kind="stable")
-    cat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
-    return which[order], cat(got_at), cat(got_slot)
+    begin = np.cumsum(pieces) - pieces
+    got_at, got_slot = (np.empty(int(pieces.sum()), np.int64) for _ in range(2))
+    for step, (live, pos, pick) in enumerate(steps):
+        to = begin[live] + step
+        got_at[to], got_slot[to] = pos, pick
+    return np.repeat(np.arange(len(at)), pieces), got_at, got_slot
 
 
 class _Text:
@@ -464,7 +466,7 @@ def _samples(path: str, alpha: float, k: int, digest: bool):
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 if digest:
                     own = [raw[off[i + d] : off[i + d + 1]].tobytes() for d, rows in enumerate(got) for _ in rows]
-                    last = [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([v.decode_bytes(x.tolist()) == t for x, t in zip(ids, own)])]
+                    last = [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([v.decode_bytes(x) == t for x, t in zip(ids, own)])]
                 else:
                     last = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))]
                 columns = [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(n), pa.array(logp, pa.float64()), pa.array(key, pa.float64()), pa.array(score, pa.float64()), *last]
