@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vectrail.llm import components, decontaminate, exchange, pieces, repair, simhash, substring, suffix, toxicity
-from vectrail.llm.common import binary_parts, shared_table_path
+from vectrail.llm.common import binary_parts, shared_table_path, spread_join
 
 
 def test_decontamination_equals_brute_force(spark, documents, texts, nothing):
@@ -247,6 +247,45 @@ def test_connected_components(spark):
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hub = [(500, i) for i in range(3000) if i != 500] + [(4000, 4001)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(hub, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {4000: 4000, 4001: 4000}
+
+
+def test_spread_join_deals_a_hot_key(spark):
+    rows = [(1 if i % 3 else i, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    look = df.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    found = spread_join(df, look.filter("k != 3"), "k", "n", len(rows))
+    assert sorted(found.columns) == ["k", "top", "v"]
+    top = {k: v for k, v in rows}
+    assert sorted((r["k"], r["v"], r["top"]) for r in found.collect()) == sorted((k, v, top[k]) for k, v in rows if k != 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        sizes = spread_join(df, look, "k", "n", len(rows)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(r["count"] for r in sizes) < 300  # of 4,000 rows of the hot key
+    assert spread_join(df.limit(0), look.limit(0), "k", "n", 0).count() == 0
+
+
+def test_copies_and_giant_components(spark):
+    words = [f"w{i}" for i in range(400)]
+    same = " ".join(words)
+    rows = [(i, same) for i in range(900)] + [(900 + i, " ".join([*words[:399], f"x{i}"])) for i in range(900)] + [(None, same), (5000, "alone " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    linked = [r for r in found if r["component_id"] == 0]
+    assert {r["doc_id"] for r in linked} >= {None, *range(900)}
+    prints = {r["fp"] & (2**64 - 1) for r in linked}
+    assert all(any((r["fp"] & (2**64 - 1) ^ p).bit_count() <= 4 for p in prints) == (r["component_id"] == 0) for r in found)
+    assert simhash.deduplicate(docs).count() == len({r["component_id"] for r in found})
 
 
 def test_token_files(spark, documents, texts, nothing):

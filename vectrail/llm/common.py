@@ -48,6 +48,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `lookup`, in which each `key` stands once with the number of its rows (`members`, left
+    out of the result). A key with more than an even share of the `total` rows (so there are fewer of them than shuffle
+    partitions, and they can be broadcast) is dealt over four salts for each of its shares."""
+    share = max(1, total // shuffle_parts(rows.sparkSession))
+    salts = F.ceil(4 * F.col(members) / F.lit(share)).cast("int")
+    heavy = lookup.filter(F.col(members) > share).select(key, salts.alias("__salts"))
+    others = [c for c in rows.columns if c != key]
+    left = rows.join(F.broadcast(heavy), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), F.coalesce("__salts", F.lit(1))).cast("int"))
+    copies = F.when(F.col(members) > share, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    right = lookup.withColumn("__salt", F.explode(copies)).drop(members)
+    return left.drop("__salts").join(right, [key, "__salt"]).drop("__salt")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or a variant that no column of `df` has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
-Each step is one grouped minimum and one join on the edges; the work table is checkpointed every round, so a lost
-executor costs at most one round. The number of rounds grows with the logarithm of the longest path.
+Each step is one grouped minimum and one join on the edges, in which the edges of a hub are dealt over many tasks; the
+work table is checkpointed every round, so a lost executor costs at most one round. The number of rounds grows with the
+logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import checkpoint
+from vectrail.llm.common import checkpoint, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b) with a > b. Large star: every larger neighbour of u goes to u's least neighbour; small star: u and
-    its smaller neighbours do."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Edges (a, b) with a > b, at most `total`. Large star: every larger neighbour of u goes to u's least neighbour;
+    small star: u and its smaller neighbours do."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = spread_join(both, least, "u", "n", 2 * total if large else total)
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,12 +34,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are fine; without edges the result is empty.
     """
     now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    mark = None
+    mark, total = None, now.count()
     while True:
-        now = checkpoint(_star(_star(now, True), False))
+        now = checkpoint(_star(_star(now, True, total), False, total))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, total = seen, seen[0]
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import as_long, binary_parts, checkpoint, read_table, release, row_keys, shuffle_parts
+from vectrail.llm.common import as_long, binary_parts, checkpoint, read_table, release, row_keys, shuffle_parts, spread_join
 from vectrail.llm.components import connected_components
 
 VARIANTS = 1 << 20
@@ -166,23 +166,32 @@ def link_fingerprints(distinct: DataFrame, *, radius: int = 4) -> DataFrame:
     return sent.mapInArrow(_links(lead, half), "a long, b long").distinct()
 
 
+def _components(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, int]:
+    """From fingerprinted rows: the distinct fingerprints (fp, root, copies), their components (root, component_id, first,
+    members), first being the row that stands for one, and the number of fingerprints."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("k1"), F.col("k2")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), first.alias("first"), F.count("*").alias("copies")))
+    roots = connected_components(link_fingerprints(distinct, radius=radius))
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    best = known.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"), F.count("*").alias("members"))
+    return known.select("fp", "root", "copies"), best, distinct.count()
+
+
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """(k1, k2, doc_id, fp, component_id, keep_k1, keep_k2) for every document; component_id is the smallest doc_id of
-    its component, keep_* the keys of the row that stands for it (smallest doc_id, then smallest text key)."""
+    its component, keep_* the keys of the row that stands for it (smallest doc_id, then smallest text key). The members
+    of a giant component and the copies of one text are dealt over many tasks."""
     rows = checkpoint(fingerprints(documents, doc_id=doc_id, text=text, size=size, seed=seed))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("k1"), F.col("k2")))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), first.alias("first"))
-    roots = connected_components(link_fingerprints(distinct, radius=radius))
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "first", F.coalesce("root", "fp").alias("root"))
-    best = known.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
-    classes = known.select("fp", "root").join(best, "root").select("fp", "component_id", F.col("first.k1").alias("keep_k1"), F.col("first.k2").alias("keep_k2"))
-    return rows.join(classes, "fp")
+    known, best, total = _components(rows, radius)
+    classes = spread_join(known, best, "root", "members", total).select("fp", "copies", "component_id", F.col("first.k1").alias("keep_k1"), F.col("first.k2").alias("keep_k2"))
+    return spread_join(rows, classes, "fp", "copies", rows.count())
 
 
-def deduplicate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def deduplicate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """`documents` with one row of each component: its smallest doc_id. Columns stay the same."""
-    found = near_duplicates(documents, doc_id=doc_id, text=text, **options)
-    keep = found.select(F.col("keep_k1").alias("__k1"), F.col("keep_k2").alias("__k2")).distinct()
+    rows = checkpoint(fingerprints(documents, doc_id=doc_id, text=text, size=size, seed=seed))
+    _, best, _ = _components(rows, radius)
+    keep = best.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
     k1, k2 = row_keys(documents, doc_id, text)
     keyed = documents.withColumns({"__k1": k1, "__k2": k2})
     return keyed.join(keep, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
