@@ -62,18 +62,22 @@ class Vocabulary:
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
         rank = {i: -model.get_score(i) for i, _ in pieces}
         self.longest = max(len(p) for _, p in pieces)
-        known: list[dict[int, tuple[int, float]]] = [{} for _ in range(self.longest)]
-        for i, p in pieces:
-            h = U64(0)
-            for n, c in enumerate(p):
-                h = self.step(np.array([h], U64), np.array([ord(c)], np.uint32))[0]
-                known[n].setdefault(int(h), (-1, -np.inf))
-            known[len(p) - 1][int(h)] = (i, -alpha * float(np.log(2 + rank[i])))
-        found = [(h, i, w) for t in known for h, (i, w) in t.items()]
-        self.ids, self.weights = np.array([x[1] for x in found], np.int32), np.array([x[2] for x in found])
+        sizes = np.array([len(p) for _, p in pieces])
+        chars = np.array([ord(c) for _, p in pieces for c in p], np.uint32)
+        own, first = np.array([i for i, _ in pieces], np.int32), np.cumsum(sizes) - sizes
+        worth = -alpha * np.log(2 + np.array([rank[i] for i, _ in pieces]))
+        found, h = [], np.zeros(len(pieces), U64)
+        for n in range(self.longest):
+            live = np.flatnonzero(sizes > n)
+            h[live] = self.step(h[live], chars[first[live] + n])
+            prefixes, ends = np.unique(h[live]), np.flatnonzero(sizes == n + 1)
+            at, ids, weights = np.searchsorted(prefixes, h[ends]), np.full(len(prefixes), -1, np.int32), np.full(len(prefixes), -np.inf)
+            ids[at], weights[at] = own[ends], worth[ends]
+            found.append((prefixes, ids, weights))
+        hashes, self.ids, self.weights = (np.concatenate(x) for x in zip(*found))
         # one open table of all prefixes: most questions end at its first, empty place
         self.keys, self.place = np.zeros(1 << SLOTS, U64), np.full(1 << SLOTS, -1, np.int32)
-        for n, (h, _, _) in enumerate(found):
+        for n, h in enumerate(hashes.tolist()):
             at = h >> (64 - SLOTS)
             while self.place[at] >= 0:
                 at = (at + 1) % (1 << SLOTS)
