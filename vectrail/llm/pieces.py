@@ -306,7 +306,7 @@ class _Text:
 
 
 #: Bytes that are searched together; the more, the fewer lattices of the same words.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: No Gumbel draw from `unit` exceeds this.
 NOISE = 38.0
 

@@ -45,7 +45,7 @@ COARSE = 256
 FINE = 48
 BUCKET_BYTES = 16 << 20
 PARTS = 32
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 _one = Rolling(5)
 _LOW = U64((1 << 24) - 1)
 
