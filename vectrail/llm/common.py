@@ -20,6 +20,7 @@ from vectrail.sources.paths import shared_dir
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+BLOCK = 1 << 15
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,41 +128,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes (modulo 2**64, odd base) of all ranges of a sequence from one pass of prefix sums."""
+    """Polynomial hashes (modulo 2**64, odd base) of all ranges of a sequence from one pass of prefix sums. The powers of
+    the base are kept for one block; those of later blocks are these times one number a block."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-        self.up = self.down = np.ones(1, U64)
+        self.back = pow(self.base, -1, 1 << 64)
+        self.up, self.down = self._powers(self.base, BLOCK), self._powers(self.back, BLOCK)
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = (int(n) | 0xFFFF) + 1
-            up, down = np.full(size, self.base, U64), np.full(size, pow(self.base, -1, 1 << 64), U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, U64)
+        out[:1] = 1
+        return np.cumprod(out)
 
-    def of_values(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
+    def _prefix(self, values: np.ndarray, table: np.ndarray | None) -> np.ndarray:
         out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
+        for a in range(0, len(values), BLOCK):
+            part = values[a : a + BLOCK]
+            part = part if table is None else table[part]
+            out[a + 1 : a + 1 + len(part)] = part * self.up[: len(part)] * U64(pow(self.base, a, 1 << 64))
+        return np.cumsum(out, out=out)
+
+    def of_values(self, values: np.ndarray) -> np.ndarray:
+        return self._prefix(values, None)
 
     def of_bytes(self, raw: np.ndarray) -> np.ndarray:
-        return self.of_values(self.table[raw])
+        return self._prefix(raw, self.table)
 
     def ranges(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        self._grow(len(prefix))
-        return mix((prefix[hi] - prefix[lo]) * self.down[lo])
+        far = self._powers(pow(self.back, BLOCK, 1 << 64), len(prefix) // BLOCK + 1)
+        return mix((prefix[hi] - prefix[lo]) * self.down[lo % BLOCK] * far[lo // BLOCK])
 
     def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
         """Hashes of all ranges of `width` values, by start."""
-        n = len(prefix) - 1 - width + 1
-        if n <= 0:
-            return np.zeros(0, U64)
-        self._grow(len(prefix))
-        return mix((prefix[width:] - prefix[:-width]) * self.down[:n])
+        n = max(0, len(prefix) - width)
+        out = np.empty(n, U64)
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
+            out[a:b] = mix((prefix[a + width : b + width] - prefix[a:b]) * self.down[: b - a] * U64(pow(self.back, a, 1 << 64)))
+        return out
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
