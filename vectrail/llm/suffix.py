@@ -22,7 +22,7 @@ texts, for small inputs and tests.
 
 Defined cases: null and empty texts and those under `length` bytes lose nothing; repeated rows are separate documents
 and so repeat each other; null doc_ids are fine; matches never cross documents; a text of any length is read in
-overlapping chunks of about 1 MB; an empty table gives an empty result; other columns pass through.
+overlapping chunks of 256 kB; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrail.llm import substring
-from vectrail.llm.common import SLICE_BYTES, U64, Rolling, as_long, binary_parts, read_table, release, row_keys, shuffle_parts, sliding_min, slices
+from vectrail.llm.common import U64, Rolling, as_long, binary_parts, read_table, release, row_keys, shuffle_parts, sliding_min, slices
 from vectrail.llm.exchange import MARKS, pack_marks, with_marks
 from vectrail.llm.words import ranges
 
 COARSE = 256
 FINE = 48
+#: Bytes that are hashed together; a task's arrays hold some ten numbers for each.
+SLICE_BYTES = 1 << 18
 BUCKET_BYTES = 16 << 20
 PARTS = 32
 FLUSH_BYTES = 8 << 20
@@ -65,7 +67,7 @@ def _starts(off: np.ndarray, length: int) -> np.ndarray:
 
 def _chunks(off: np.ndarray, length: int):
     """(first document, byte offsets of some documents): slices, and long documents cut so that each window is in one."""
-    for i, j in slices(off):
+    for i, j in slices(off, SLICE_BYTES):
         if off[j] - off[i] <= 2 * SLICE_BYTES or j - i > 1:
             yield i, off[i : j + 1]
             continue
