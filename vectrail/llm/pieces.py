@@ -457,9 +457,17 @@ def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndar
     return out
 
 
-def _samples(path: str, alpha: float, k: int, digest: bool):
+def _samples(path: str, alpha: float, k: int, digest: bool, keep_words: bool):
     def run(batches):
         v = vocabulary(path, alpha)
+        try:
+            yield from sampled(v, batches)
+        finally:
+            if not keep_words:
+                v.lattice = Lattice(v)
+                release()
+
+    def sampled(v, batches):
         for batch in batches:
             raw, off = binary_parts(batch.column(1))
             seeds, names = batch.column(2).to_numpy().view(U64), batch.column(0).to_pylist()
@@ -481,13 +489,14 @@ def _samples(path: str, alpha: float, k: int, digest: bool):
     return run
 
 
-def sample_segmentations(documents: DataFrame, model: str, *, k: int = 3, alpha: float = 1.0, seed: int = 42, digest: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sample_segmentations(documents: DataFrame, model: str, *, k: int = 3, alpha: float = 1.0, seed: int = 42, digest: bool = False, keep_words: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rank, n_pieces, log_prob, perturbed, inclusion, ids) for every document's k samples; with digest the ids
-    give way to their crc32 (as little-endian 32-bit numbers) and to whether they decode to the text."""
+    give way to their crc32 (as little-endian 32-bit numbers) and to whether they decode to the text. With keep_words a
+    worker keeps the lattices of its words for its next task (some 100 MB); the samples are the same either way."""
     key = F.xxhash64(as_long(documents, doc_id), F.coalesce(F.col(text), F.lit("")), F.lit(seed))
     rows = documents.select(as_long(documents, doc_id).alias("doc_id"), F.col(text).alias("text"), key.alias("seed"))
     end = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
-    return rows.mapInArrow(_samples(model, alpha, k, digest), f"doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, {end}")
+    return rows.mapInArrow(_samples(model, alpha, k, digest, keep_words), f"doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, {end}")
 
 
 def op10_gumbel_pieces(spark, sf_dir: str) -> DataFrame:
