@@ -47,10 +47,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every document, with their ids; fewer where a text has fewer."""
+    """Three distinct sampled segmentations of every document, with their ids; fewer where a text has fewer. Workers give
+    up their words' lattices after each task, as they serve the other stages too."""
     import public_tokenizers
 
-    return pieces.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_words=False)
 
 
 STAGES = [
