@@ -252,6 +252,21 @@ def test_connected_components(spark):
     assert got == {i: 0 for i in range(3000)} | {4000: 4000, 4001: 4000}
 
 
+@pytest.mark.parametrize(("pairs", "most"), [([], 0), ([(2, 1), (1, 3), (7, 5), (4, 4)], 0), ([(1, 2), (2, 3)], 1), ([(i, i + 1) for i in range(4)], 2)])
+def test_components_take_no_round_that_changes_nothing(spark, monkeypatch, pairs, most):
+    from vectrail.llm import components
+
+    rounds = []
+    monkeypatch.setattr(components, "_star", lambda edges, large, total, f=components._star: rounds.append(large) or f(edges, large, total))
+    got = dict(components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    root = {x: x for pair in pairs for x in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root and rounds.count(True) <= most
+
+
 def test_spread_join_deals_a_hot_key(spark):
     rows = [(1 if i % 3 else i, i) for i in range(6000)]
     df = spark.createDataFrame(rows, "k long, v long")

@@ -2,7 +2,7 @@
 
 Each step is one grouped minimum and one join on the edges, in which the edges of a hub are dealt over many tasks; the
 work table is checkpointed every round, so a lost executor costs at most one round. The number of rounds grows with the
-logarithm of the longest path.
+logarithm of the longest path; they end as soon as all edges are stars, without a round that only shows it.
 """
 
 from __future__ import annotations
@@ -28,18 +28,24 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return moved.filter("a > b").distinct()
 
 
+def _shape(edges: DataFrame) -> tuple[int, bool]:
+    """The number of distinct edges (a, b) with a > b, and whether they are stars: every node is a root, which stands
+    in b only, or stands once in a and never in b."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    total, others = nodes.agg(F.sum("up"), F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first()
+    return total or 0, not others
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the least node of its component.
 
     Loops and repeated edges are fine; without edges the result is empty.
     """
     now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    mark, total = None, now.count()
-    while True:
+    total, done = _shape(now)
+    while not done:
         now = checkpoint(_star(_star(now, True, total), False, total))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark, total = seen, seen[0]
+        total, done = _shape(now)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
