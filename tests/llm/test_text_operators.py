@@ -396,6 +396,28 @@ def test_gumbel_top_k_draws_paths_by_their_probabilities():
     assert abs(total - 1) < 0.05
 
 
+def test_samples_are_decoded_together_and_scored_by_their_slots():
+    import public_tokenizers
+    import pyarrow as pa
+
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    texts = ["", None, "there on", " ", "x" * 700 + " ▁é中\U0001f600", "it's  «quoted»\n\n 123 4½", ""]
+    raw, off = binary_parts(pa.array(texts))
+    got = pieces.sample_texts(v, raw, off, np.arange(7, dtype=np.uint64), 3)
+    ids = [s[0] for rows in got for s in rows]
+    own = [(t or "").encode() for t, rows in zip(texts, got) for _ in rows]
+    counts = np.array([len(x) for x in ids])
+    assert v.decode_each(np.concatenate(ids), counts) == [v.decode_bytes(x) for x in ids] == own
+    assert v.decode_each(np.zeros(0, np.int32), np.zeros(2, np.int64)) == [b"", b""]
+    # a place's others together are all but one slot, whatever is barred
+    lat = v.lattice
+    at = np.flatnonzero(lat.last.all > 1)[:50]
+    p = lat.padded(at)
+    assert np.allclose(p.sum(axis=0), 1)
+    assert np.allclose(np.exp(lat.others(at, np.zeros(len(at), np.int64), np.where(np.arange(len(at)) % 2, 2, 0))), 1 - p[0] - np.where(np.arange(len(at)) % 2, p[1], 0))
+    assert sum(c.held.itemsize for c in vars(lat).values() if isinstance(c, pieces.Column) and len(c) == len(lat.ids)) == 21
+
+
 def test_segmentations_of_documents(spark, documents, texts, nothing):
     import public_tokenizers
 

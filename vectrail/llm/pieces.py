@@ -38,16 +38,21 @@ MARK = "▁"
 LITERAL = 0x110000  # a U+2581 of the text itself
 BYTE = -12.0
 SLOTS = 19
-#: Slots of word lattices that a worker keeps, 33 bytes each, besides those of the slice at hand.
+#: Slots of word lattices that a worker keeps, 25 bytes each, besides those of the slice at hand.
 LATTICE_SLOTS = 3_000_000
+GOLDEN = 0x9E3779B97F4A7C15
 _state: dict = {}
 
 
 def unit(seed: np.ndarray, number: np.ndarray | int) -> np.ndarray:
     """Uniform numbers in (0, 1) from row seeds and counters."""
     with np.errstate(over="ignore"):
-        x = mix(np.asarray(seed, U64) + np.asarray(number, U64) * U64(0x9E3779B97F4A7C15))
-    return ((x >> U64(11)).astype(float) + 0.5) * 2.0**-53
+        x = mix(np.asarray(seed, U64) + np.asarray(number, U64) * U64(GOLDEN))
+    x >>= U64(11)
+    x = x.astype(float)
+    x += 0.5
+    x *= 2.0**-53
+    return x
 
 
 class Vocabulary:
@@ -91,18 +96,23 @@ class Vocabulary:
             self.spelled[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
+        self.letters = pa.array(self.spelled, pa.large_binary())
         self.spelled = np.array(self.spelled, object)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each prefix hash; -1 for those of no piece."""
-        out, live = np.full(len(h), -1, np.int32), np.arange(len(h))
-        at = (h >> U64(64 - SLOTS)).astype(np.int64)
+        out, at = np.full(len(h), -1, np.int32), (h >> U64(64 - SLOTS)).astype(np.int64)
+        n = self.place.take(at, mode="clip")
+        live = np.flatnonzero(n >= 0)
+        at, n = at[live], n[live]
         while len(live):
-            n = self.place[at]
-            hit = (self.keys[at] == h[live]) & (n >= 0)
+            hit = self.keys[at] == h[live]
             out[live[hit]] = n[hit]
-            on = ~hit & (n >= 0)
+            on = np.flatnonzero(~hit)
             live, at = live[on], (at[on] + 1) % (1 << SLOTS)
+            n = self.place[at]
+            on = np.flatnonzero(n >= 0)
+            live, at, n = live[on], at[on], n[on]
         return out
 
     @staticmethod
@@ -113,6 +123,16 @@ class Vocabulary:
     def decode_bytes(self, ids) -> bytes:
         return b"".join(self.spelled[np.asarray(ids, np.int64)].tolist())[1:]
 
+    def decode_each(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """`decode_bytes` of many runs of ids, which stand in a row; all pieces are spelled at once."""
+        if not len(ids):
+            return [b""] * len(counts)
+        spelled = self.letters.take(pa.array(ids))
+        _, off, data = spelled.buffers()
+        ends = np.frombuffer(off, np.int64)[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        data = memoryview(data)
+        return [bytes(data[a + 1 : b]) for a, b in zip(ends, ends[1:])]
+
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode()
 
@@ -132,15 +152,15 @@ def spans_of(chars: np.ndarray) -> np.ndarray:
 class Lattice:
     """Lattices of the words met so far, place after place (their code points in a row). A place has its pieces in slots
     that follow each other, the longest first, as it mostly is the likeliest and a draw seldom looks further: their
-    lengths, ids, log-probabilities given the place, probabilities summed up, and the log of all others' together.
+    lengths, ids, log-probabilities given the place and probabilities summed up (2 at the last, so that no draw goes on).
 
     Words stay from slice to slice; past `LATTICE_SLOTS` those that came once go."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.words = v, Words()
-        self.first, self.last = Column(np.int32), Column(np.int8)
+        self.first, self.last = Column(np.int64), Column(np.int8)
         self.size, self.ids = Column(np.int8), Column(np.int32)  # a negative size: the piece ends the word
-        self.log, self.cum, self.rest = Column(float), Column(float), Column(float)
+        self.log, self.cum = Column(float), Column(float)
 
     def places(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The first place of each of the words that fill a slice."""
@@ -158,9 +178,9 @@ class Lattice:
         place = ranges(old[kept], old[kept + 1] - old[kept])
         per = self.last.all[place].astype(np.int64) + 1
         slot = ranges(self.first.all[place], per)
-        for c in (self.size, self.ids, self.log, self.cum, self.rest):
+        for c in (self.size, self.ids, self.log, self.cum):
             c.keep(slot)
-        self.first.held, self.first.size = (np.cumsum(per) - per).astype(np.int32), len(place)
+        self.first.held, self.first.size = np.cumsum(per) - per, len(place)
         self.last.keep(place)
 
     def _add(self, chars: np.ndarray, sizes: np.ndarray) -> None:
@@ -195,10 +215,10 @@ class Lattice:
         first[order] = begin
         total = int(per.sum())
         size, ids, target, weight = np.empty(total, np.int8), np.empty(total, np.int32), np.empty(total, np.int64), np.empty(total)
-        left = per.copy()
+        free = first + per
         for place, length, own, w in found:
-            left[place] -= 1
-            slot = first[place] + left[place]
+            slot = free[place] - 1
+            free[place] = slot
             end = room[place] == length
             size[slot], ids[slot], weight[slot] = np.where(end, -length, length), own, w
             target[slot] = np.where(end, n, place + length)
@@ -210,37 +230,41 @@ class Lattice:
             at = order[lo:hi]
             a, b = int(begin[lo]), int(begin[hi]) if hi < n else total
             seg, many = begin[lo:hi] - a, per[at]
-            y = weight[a:b] + back[target[a:b]]
+            y = weight[a:b] + back.take(target[a:b], mode="clip")
             top = np.maximum.reduceat(y, seg)
             y -= np.repeat(top, many)
             e = np.exp(y)
             sums = np.add.reduceat(e, seg)
             back[at] = top + np.log(sums)
             log[a:b], p[a:b] = y - np.repeat(np.log(sums), many), e / np.repeat(sums, many)
-        before, after = np.zeros(total), np.zeros(total)
         by = np.argsort(-per, kind="stable")
         seg = first[by]
         has = np.searchsorted(-per[by], -np.arange(int(per.max()) + 1), side="left").tolist()  # how many have a slot s
         for s in range(1, len(has)):
             at = seg[: has[s]] + s
-            before[at] = before[at - 1] + p[at - 1]
-        for s in range(len(has) - 2, -1, -1):
-            at = seg[: has[s + 1]] + s
-            after[at] = after[at + 1] + p[at + 1]
-        with np.errstate(divide="ignore"):
-            rest = np.log(before + after)
-        for column, part in ((self.first, first + slots), (self.last, per - 1), (self.size, size), (self.ids, ids), (self.log, log), (self.cum, before + p), (self.rest, rest)):
+            p[at] += p[at - 1]
+        p[first + per - 1] = 2.0
+        for column, part in ((self.first, first + slots), (self.last, per - 1), (self.size, size), (self.ids, ids), (self.log, log), (self.cum, p)):
             column.add(part)
 
     def padded(self, at: np.ndarray) -> np.ndarray:
         """Probabilities of all slots of some places, by rows; 0 where there is none."""
         last = self.last.all[at].astype(np.int64)
         row = np.arange(int(last.max(initial=0)) + 1)[:, None]
-        return np.where(row <= last, np.exp(self.log.all[self.first.all[at] + np.minimum(row, last)]), 0.0)
+        return np.where(row <= last, np.exp(self.log.all.take(self.first.all[at] + np.minimum(row, last), mode="clip")), 0.0)
+
+    def others(self, at: np.ndarray, pick: np.ndarray, bars: np.ndarray) -> np.ndarray:
+        """The log of what all slots of some places have together but for one each and for those of a bit mask."""
+        p = self.padded(at)
+        p[pick, np.arange(len(at))] = 0.0
+        some = np.flatnonzero(bars)
+        p[:, some] = np.where((bars[some] >> np.arange(len(p))[:, None]) & 1 == 1, 0.0, p[:, some])
+        with np.errstate(divide="ignore"):
+            return np.log(p.sum(axis=0))
 
     def spell(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and their numbers: characters in bytes become their byte pieces."""
-        ids, lens = self.ids.all[self.first.all[at] + slot], np.ones(len(at), np.int64)
+        ids, lens = self.ids.all.take(slot, mode="clip"), np.ones(len(at), np.int64)
         lone = np.flatnonzero(ids < 0)
         if not len(lone):
             return ids, lens
@@ -258,39 +282,40 @@ class Lattice:
         return out, lens
 
 
-def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, number: np.ndarray, barred: np.ndarray):
-    """Draw pieces from word places `at` to the words' ends: (which, place, slot), in order of which.
+def _forward(lat: Lattice, at: np.ndarray, seed: np.ndarray, some: np.ndarray, bars: np.ndarray):
+    """Draw pieces from word places `at` to the words' ends, each with its seed: their numbers, places and slots.
 
-    barred: bit masks of the slots that the first piece of each may not have."""
-    live, pos, number = np.arange(len(at)), at, number.astype(U64) * U64(1 << 20)
-    first, last, cum, size = (c.all for c in (lat.first, lat.last, lat.cum, lat.size))
-    steps, pieces = [], np.zeros(len(at), np.int64)
+    bars: bit masks of the slots that the first pieces of `some` may not have."""
+    live, pos = np.arange(len(at)), at
+    first, cum, size = (c.all for c in (lat.first, lat.cum, lat.size))
+    steps, pieces = [], np.empty(len(at), np.int64)
     while len(live):
-        step = len(steps)
-        u = unit(seed, number + U64(step))
-        own = first[pos]
-        pick = np.zeros(len(pos), np.int64)
-        open_, row = np.flatnonzero(u >= cum[own]), 0
-        while len(open_ := open_[last[pos[open_]] > row]):
-            row += 1
-            pick[open_] = row
-            open_ = open_[u[open_] >= cum[own[open_] + row]]
-        if step == 0 and len(some := np.flatnonzero(barred)):
+        u = unit(seed, len(steps))
+        slot = first.take(pos, mode="clip")  # which skips a look for places out of range; there are none
+        open_ = np.flatnonzero(u >= cum.take(slot, mode="clip"))
+        there, left = slot[open_], u[open_]
+        while len(open_):
+            there += 1
+            slot[open_] = there
+            on = np.flatnonzero(left >= cum.take(there, mode="clip"))
+            open_, there, left = open_[on], there[on], left[on]
+        if not steps and len(some):
             p = lat.padded(pos[some])
-            p[(barred[some] >> np.arange(len(p))[:, None]) & 1 == 1] = 0.0
+            p[(bars >> np.arange(len(p))[:, None]) & 1 == 1] = 0.0
             sums = np.cumsum(p, axis=0)
-            pick[some] = np.minimum((u[some] * sums[-1] >= sums).sum(axis=0), len(p) - 1 - np.argmax((p > 0)[::-1], axis=0))
-        steps.append((live, pos, pick))
-        length = size[own + pick]
-        on = np.flatnonzero(length > 0)
-        pieces[live] += 1
-        live, pos, seed, number = live[on], pos[on] + length[on], seed[on], number[on]
+            slot[some] = first[pos[some]] + np.minimum((u[some] * sums[-1] >= sums).sum(axis=0), len(p) - 1 - np.argmax((p > 0)[::-1], axis=0))
+        steps.append((live, pos, slot))
+        length = size.take(slot, mode="clip")
+        on = length > 0
+        pieces[live[~on]] = len(steps)
+        on = np.flatnonzero(on)
+        live, pos, seed = live[on], pos[on] + length[on], seed[on]
     begin = np.cumsum(pieces) - pieces
     got_at, got_slot = (np.empty(int(pieces.sum()), np.int64) for _ in range(2))
-    for step, (live, pos, pick) in enumerate(steps):
+    for step, (live, pos, slot) in enumerate(steps):
         to = begin[live] + step
-        got_at[to], got_slot[to] = pos, pick
-    return np.repeat(np.arange(len(at)), pieces), got_at, got_slot
+        got_at[to], got_slot[to] = pos, slot
+    return pieces, got_at, got_slot
 
 
 class _Text:
@@ -320,8 +345,7 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
     Each task is (text, key, kept, barred, before); its sample's new pieces are got and slot between its edges. Sets
     split off further along have less mass; where even the largest draw could not lift one among the best k, the rest
     cannot matter and is not drawn."""
-    own_slot = lat.first.all[got] + slot
-    logs, others = lat.log.all[own_slot], lat.rest.all[own_slot]
+    logs = lat.log.all.take(slot, mode="clip")
     tasks = [(i, *t) for i, t in enumerate(tasks)]
     for _, t, _, _, _, before in tasks:
         t.total = before
@@ -350,14 +374,10 @@ def _split(tasks: list, lat: Lattice, got: np.ndarray, slot: np.ndarray, edges:
         while len(rows):
             some = np.argpartition(-bound[rows], take - 1, axis=1)[:, :take]
             at = idx[rows[:, None], some]
-            pick, left = slot[at], others[at]
-            if start == 0 and len(head := np.nonzero((some == 0) & (bars[live[rows]] != 0)[:, None])[0]):
-                col = np.argmax(some[head] == 0, axis=1)
-                p = lat.padded(got[at[head, col]])
-                p[pick[head, col], np.arange(len(head))] = 0.0
-                p[(bars[live[rows[head]]] >> np.arange(len(p))[:, None]) & 1 == 1] = 0.0
-                with np.errstate(divide="ignore"):
-                    left[head, col] = np.log(np.cumsum(p, axis=0)[-1])
+            where = got[at]
+            pick = slot[at] - lat.first.all[where]
+            barring = np.where((some == 0) & (start == 0), bars[live[rows], None], 0)
+            left = lat.others(where.ravel(), pick.ravel(), barring.ravel()).reshape(at.shape)
             before_it, own_noise = prefix[rows[:, None], some], noise[rows[:, None], some]
             mass = before_it + left
             value = np.where(valid[rows[:, None], some], mass - own_noise, -np.inf)
@@ -408,43 +428,40 @@ def sample_texts(v: Vocabulary, raw: np.ndarray, off: np.ndarray, seeds: np.ndar
     ties = count(1)
     texts = [_Text(place[by_doc[d] : by_doc[d + 1]], int(seeds[d])) for d in range(len(off) - 1)]
     for _ in range(k):
-        at, seed, number, barred, cuts = [], [], [], [], []
+        at, base, barred, done = [], [], [], []
         for t in texts:
             if not t.queue:
-                t.task = None
                 continue
             key, _, base_of, kept, bars, before = heapq.heappop(t.queue)
             if base_of is None:
-                where, word0 = t.words, 0
-                head = (np.zeros(0, np.int64),) * 3
+                where, word0, head = [t.words], 0, None
             else:
                 a, s, w = t.samples[base_of][:3]
-                word0 = int(w[kept]) + 1
-                where = np.concatenate([a[kept : kept + 1], t.words[word0:]])
-                word0 -= 1
-                head = (a[:kept], s[:kept], w[:kept])
+                word0 = int(w[kept])
+                where, head = [a[kept : kept + 1], t.words[word0 + 1 :]], (a[:kept], s[:kept], w[:kept])
             t.task = (-key, kept, bars, before, head, word0)
-            at.append(where)
-            seed.append(np.full(len(where), t.seed, U64))
-            number.append(np.arange(len(where)) + word0 + (len(t.samples) + 1) * (1 << 24))
-            b = np.zeros(len(where), np.int64)
-            if len(b):
-                b[0] = bars
-            barred.append(b)
-            cuts.append(len(where))
-        if not cuts:
+            at += where
+            base.append((t.seed + (word0 + (len(t.samples) + 1) * (1 << 24)) * (GOLDEN << 20)) % (1 << 64))
+            barred.append(bars)
+            done.append((t, sum(map(len, where))))
+        if not done:
             break
-        which, got, size = _forward(lat, np.concatenate(at), np.concatenate(seed), np.concatenate(number), np.concatenate(barred))
-        edges = np.searchsorted(which, np.concatenate([[0], np.cumsum(cuts)]))
-        done = [t for t in texts if t.task is not None]
-        _split([(t, *t.task[:4]) for t in done], lat, got, size, edges, k, ties)
-        offset = 0
+        done, cuts = zip(*done)
+        begin = np.concatenate([[0], np.cumsum(cuts)])
+        stride = U64((GOLDEN << 20) % (1 << 64))
+        seed = np.repeat(np.array(base, U64) - begin[:-1].astype(U64) * stride, cuts) + np.arange(begin[-1], dtype=U64) * stride
+        bars = np.array(barred, np.int64)
+        some = np.flatnonzero(bars)
+        pieces, got, slot = _forward(lat, np.concatenate(at), seed, begin[some], bars[some])
+        edges = np.concatenate([[0], np.cumsum(pieces)])[begin]
+        which = np.repeat(np.arange(len(pieces), dtype=np.int32), pieces)
+        _split([(t, *t.task[:4]) for t in done], lat, got, slot, edges, k, ties)
+        edges, begin = edges.tolist(), begin.tolist()
         for i, t in enumerate(done):
             key, *_, head, word0 = t.task
             lo, hi = edges[i], edges[i + 1]
-            own = (got[lo:hi], size[lo:hi], which[lo:hi] - offset + word0)
-            t.samples.append((*(np.concatenate([x, y]) if len(x) else y for x, y in zip(head, own)), key, t.total))
-            offset += cuts[i]
+            own = (got[lo:hi], slot[lo:hi], which[lo:hi] + np.int32(word0 - begin[i]))
+            t.samples.append((*(own if head is None else (np.concatenate(x) for x in zip(head, own))), key, t.total))
     every = [x for t in texts for x in t.samples]
     counts = np.array([len(x[0]) for x in every], np.int64)
     ids, lens = lat.spell(np.concatenate([x[0] for x in every]), np.concatenate([x[1] for x in every])) if every else (np.zeros(0, np.int32), counts)
@@ -477,8 +494,8 @@ def _samples(path: str, alpha: float, k: int, digest: bool, keep_words: bool):
                 doc, rank, ids, logp, key, score = zip(*samples)
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 if digest:
-                    own = [raw[off[i + d] : off[i + d + 1]].tobytes() for d, rows in enumerate(got) for _ in rows]
-                    last = [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([v.decode_bytes(x) == t for x, t in zip(ids, own)])]
+                    own = [x for d, rows in enumerate(got) for x in [raw[off[i + d] : off[i + d + 1]].tobytes()] * len(rows)]
+                    last = [pa.array([zlib.crc32(x.astype("<u4", copy=False).data) for x in ids], pa.int64()), pa.array([x == t for x, t in zip(v.decode_each(np.concatenate(ids), n), own)])]
                 else:
                     last = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))]
                 columns = [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(n), pa.array(logp, pa.float64()), pa.array(key, pa.float64()), pa.array(score, pa.float64()), *last]
