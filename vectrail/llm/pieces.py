@@ -199,12 +199,11 @@ class Lattice:
             live, h, at = live[ok], h[ok], at[ok]
             piece = v.ids[at] >= 0
             place, at = live[piece], at[piece]
-            found.append((place, k + 1, v.ids[at], v.weights[at]))
+            found.append((place, k + 1, at))
             per[place] += 1
             if not k:
                 single = per > 0
         lone = np.flatnonzero(~single)
-        found.insert(0, (lone, 1, -1, BYTE * spans_of(chars[lone])))
         per[lone] += 1
         # slots stand by the room their places have, so that those worked on together are neighbours
         key = room * 32 + (31 - per)
@@ -214,14 +213,19 @@ class Lattice:
         first = np.empty(n, np.int64)
         first[order] = begin
         total = int(per.sum())
-        size, ids, target, weight = np.empty(total, np.int8), np.empty(total, np.int32), np.empty(total, np.int64), np.empty(total)
+        size, number = np.ones(total, np.int8), np.zeros(total, np.int32)
         free = first + per
-        for place, length, own, w in found:
+        free[lone] -= 1
+        for place, length, own in found:
             slot = free[place] - 1
             free[place] = slot
-            end = room[place] == length
-            size[slot], ids[slot], weight[slot] = np.where(end, -length, length), own, w
-            target[slot] = np.where(end, n, place + length)
+            size[slot], number[slot] = length, own
+        many = per[order]
+        ids, weight, target = v.ids.take(number, mode="clip"), v.weights.take(number, mode="clip"), np.repeat(order, many) + size
+        ids[first[lone]], weight[first[lone]] = -1, BYTE * spans_of(chars[lone])
+        end = np.flatnonzero(size == np.repeat(room[order], many))
+        target[end] = n
+        size[end] = -size[end]
         back, log, p = np.zeros(n + 1), np.empty(total), np.empty(total)
         edge = np.searchsorted(room[order], np.arange(1, most + 2))
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
